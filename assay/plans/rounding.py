@@ -1,0 +1,16 @@
+"""Rounding for comparing results between engines: sums of doubles depend on the order."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+    """Round every double column to ``digits`` places, or to its own number in ``special``."""
+    return df.select(*[
+        F.round(F.col(f"`{f.name}`"), special.get(f.name, digits)).alias(f.name)
+        if isinstance(f.dataType, DoubleType) else F.col(f"`{f.name}`")
+        for f in df.schema.fields
+    ])
