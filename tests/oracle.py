@@ -1,4 +1,4 @@
-"""Run registered queries beside their DuckDB oracles: python tests/oracle.py [sf] [name ...]"""
+"""Run registered queries beside their DuckDB oracles: python tests/oracle.py [sf] [query or module ...]"""
 
 from __future__ import annotations
 
@@ -54,10 +54,14 @@ def compare(df, con, sql: str) -> str | None:
 
 def main() -> None:
     from assay.session import local_session
-    from assay.plans.catalog import ORACLE, QUERIES
+    from assay.plans.catalog import MODULES, ORACLE, QUERIES
     args = sys.argv[1:]
     sf = args[0] if args else "0.01"
-    names = args[1:] or list(QUERIES)
+    names = [n for n in args[1:] if n in QUERIES]
+    for module in MODULES:
+        if module.__name__.rsplit(".", 1)[1] in args[1:]:
+            names += list(module.QUERIES)
+    names = names or list(QUERIES)
     sf_dir = f"/root/testdata/sf{sf}"
     spark, con = local_session(8), connect(sf_dir)
     bad = 0
