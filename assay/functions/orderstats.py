@@ -1,7 +1,7 @@
 """Exact order statistics that stay distributed.
 
 ``percentile`` keeps one hash-map entry per distinct value in a single task, which is right for a
-million values and wrong for a trillion. Above ``limit`` values the rank is found by narrowing:
+hundred thousand values and wrong for a trillion. Above ``limit`` values the rank is found by narrowing:
 
 1. ``percentile_approx`` gives an interval that should hold the wanted rank;
 2. one scan counts the values below and inside the interval, so the interval is *checked*;
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.exprs import col
 
-LIMIT = 1_000_000       # distinct values that one task may order
+LIMIT = 100_000         # values that one task may hold and order
 ACCURACY = 10_000       # of percentile_approx; its rank error is 1 / ACCURACY
 MAX_ROUNDS = 12
 
@@ -49,28 +49,54 @@ class Bracket:
 
 
 def quantile_row(df: DataFrame, wanted: dict[str, tuple[str | Column, float]],
-                 limit: int = LIMIT) -> DataFrame:
+                 limit: int = LIMIT, also: dict[str, Column] | None = None,
+                 counts: dict[str, int] | None = None) -> DataFrame:
     """One row with one column per entry of ``wanted``: name -> (column, probability).
 
-    Linear interpolation between the neighbouring ranks; NULL for an empty column.
+    Linear interpolation between the neighbouring ranks; NULL for an empty column. ``also`` adds
+    other aggregates to the row (in the same scan where possible). ``counts`` gives the number of
+    present values of columns wanted by name, where the caller knows them already.
     """
-    columns = {name: (col(c).cast("double"), p) for name, (c, p) in wanted.items()}
-    counts = df.agg(*[F.count(c).alias(n) for n, (c, _) in columns.items()]).first().asDict()
-    if max(counts.values()) <= limit:
-        return df.agg(*[F.percentile(c, F.lit(float(p))).alias(n) for n, (c, p) in columns.items()])
+    also = also or {}
+    by_column: dict[str, tuple[Column, list[tuple[str, float]]]] = {}
+    for name, (c, p) in wanted.items():
+        key = c if isinstance(c, str) else str(c)
+        by_column.setdefault(key, (col(c).cast("double"), []))[1].append((name, float(p)))
+    keys = list(by_column)
+    if counts is None or any(k not in counts for k in keys):
+        row = df.agg(*[F.count(by_column[k][0]).alias(f"n{i}") for i, k in enumerate(keys)]).first()
+        counts = {k: row[i] for i, k in enumerate(keys)}
+
+    if max(counts[k] for k in keys) <= limit:
+        # one map of values per column serves all its probabilities
+        packed = df.agg(
+            *[F.percentile(by_column[k][0], F.array(*[F.lit(p) for _, p in by_column[k][1]]))
+              .alias(f"__q{i}") for i, k in enumerate(keys)],
+            *[a.alias(n) for n, a in also.items()])
+        place = {name: F.col(f"__q{i}")[j] for i, k in enumerate(keys)
+                 for j, (name, _) in enumerate(by_column[k][1])}
+        return packed.select(*[place[n].alias(n) for n in wanted], *also)
 
     brackets = []
-    for name, (c, p) in columns.items():
-        n = counts[name]
-        if n:
-            position = p * (n - 1)
-            low = min(int(math.floor(position)), n - 1)
-            brackets.append(Bracket(name, c, low, min(low + 1, n - 1), position - low, n))
-    brackets = narrow(df, brackets, limit)
-    picked = _pick_ranks(df, brackets)
-    return picked.agg(*[
-        F.max(F.when(F.col("target") == name, F.col("value"))).alias(name) for name in columns
+    for k in keys:
+        column, n = by_column[k][0], counts[k]
+        for name, p in by_column[k][1]:
+            if n:
+                position = p * (n - 1)
+                low = min(int(math.floor(position)), n - 1)
+                brackets.append(
+                    Bracket(name, column, low, min(low + 1, n - 1), position - low, n))
+    picked = _pick_ranks(df, narrow(df, brackets, limit))
+    found = picked.agg(*[
+        F.max(F.when(F.col("target") == name, F.col("value"))).alias(name) for name in wanted
     ])
+    if not also:
+        return found
+    packed = found.select(F.struct(*wanted).alias("q")).scalar()
+    return (
+        df.agg(*[a.alias(n) for n, a in also.items()]).withColumn("__q", packed)
+        .select(*[F.col(f"__q.{n}").alias(n) for n in wanted], *also)
+    )
 
 
 def narrow(df: DataFrame, brackets: list[Bracket], limit: int = LIMIT) -> list[Bracket]:
@@ -81,16 +107,21 @@ def narrow(df: DataFrame, brackets: list[Bracket], limit: int = LIMIT) -> list[B
                 and (b.distinct is None or b.distinct > limit)]
         if not todo:
             break
+        # brackets that still cover the same interval share one sketch
+        shared: dict[tuple, list[Bracket]] = {}
+        for b in todo:
+            shared.setdefault((str(b.column), b.low, b.high), []).append(b)
+        groups = list(shared.values())
         sketches = df.agg(*[
             F.percentile_approx(
-                F.when(b.holds(), b.column),
-                F.array(*[F.lit(p) for p in _around(b, width)]), F.lit(ACCURACY),
-            ).alias(f"b{i}") for i, b in enumerate(todo)
+                F.when(g[0].holds(), g[0].column),
+                F.array(*[F.lit(p) for b in g for p in _around(b, width)]), F.lit(ACCURACY),
+            ).alias(f"g{i}") for i, g in enumerate(groups)
         ]).first()
-        trial = [
+        todo, trial = [b for g in groups for b in g], [
             Bracket(b.name, b.column, b.low_rank, b.high_rank, b.fraction, b.inside,
-                    low=sketches[f"b{i}"][0], high=sketches[f"b{i}"][1])
-            for i, b in enumerate(todo)
+                    low=sketches[i][2 * j], high=sketches[i][2 * j + 1])
+            for i, g in enumerate(groups) for j, b in enumerate(g)
         ]
         seen = df.agg(*[
             F.struct(

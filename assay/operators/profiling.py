@@ -169,18 +169,18 @@ def _votes(f: T.StructField) -> dict[str, Column]:
     if kind in ("number", "boolean"):
         v = c.cast("double")
         return {
-            "n_present": F.count(c), "numeric_share": F.lit(1.0), "date_share": F.lit(0.0),
+            "n_rows": F.count("*"), "n_present": F.count(c), "numeric_share": F.lit(1.0), "date_share": F.lit(0.0),
             "all_boolean": F.lit(kind == "boolean"), "mean_length": F.lit(0.0),
             "all_whole": F.coalesce(F.bool_and(v == F.floor(v)), F.lit(False)),
         }
     if kind == "time":
         return {
-            "n_present": F.count(c), "numeric_share": F.lit(0.0), "date_share": F.lit(1.0),
+            "n_rows": F.count("*"), "n_present": F.count(c), "numeric_share": F.lit(0.0), "date_share": F.lit(1.0),
             "all_boolean": F.lit(False), "mean_length": F.lit(0.0), "all_whole": F.lit(False),
         }
     text, v = c.cast("string"), to_number(c)
     return {
-        "n_present": F.count(c),
+        "n_rows": F.count("*"), "n_present": F.count(c),
         "numeric_share": F.coalesce(ratio(F.count(v), F.count(c)), F.lit(0.0)),
         "date_share": F.coalesce(ratio(F.count(parse_date(c)), F.count(c)), F.lit(0.0)),
         "all_boolean": F.coalesce(F.bool_and(F.lower(text).isin(BOOLEAN_WORDS)), F.lit(False)),
@@ -248,23 +248,25 @@ def as_double(df: DataFrame, name: str) -> Column:
     return to_number(name) if kind_of(f) == "text" else present(f).cast("double")
 
 
-def numeric_stats(df: DataFrame, columns: list[str], limit: int = LIMIT) -> DataFrame:
-    """Mean, median, std, min, max and quartiles of numeric columns with at least two values."""
+def numeric_stats(df: DataFrame, columns: list[str], limit: int = LIMIT,
+                  counts: dict[str, int] | None = None) -> DataFrame:
+    """Mean, median, std, min, max and quartiles of numeric columns with at least two values.
+
+    ``counts`` (present values per column) saves a scan where the caller has them.
+    """
     values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    quartiles = quantile_row(values, {
+    one = quantile_row(values, {
         f"{q}_{i}": (f"c{i}", p) for i in range(len(columns))
         for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-    }, limit)
-    one = values.agg(*[
-        F.struct(F.count(f"c{i}").alias("n"), F.avg(f"c{i}").alias("mean"),
-                 F.stddev_samp(f"c{i}").alias("std"), F.min(f"c{i}").alias("min"),
-                 F.max(f"c{i}").alias("max")).alias(f"s{i}")
-        for i in range(len(columns))
-    ]).withColumn("q", quartiles.select(F.struct(*quartiles.columns)).scalar())
+    }, limit, also={
+        f"s{i}": F.struct(F.count(f"c{i}").alias("n"), F.avg(f"c{i}").alias("mean"),
+                          F.stddev_samp(f"c{i}").alias("std"), F.min(f"c{i}").alias("min"),
+                          F.max(f"c{i}").alias("max")) for i in range(len(columns))
+    }, counts=counts and {f"c{i}": counts[c] for i, c in enumerate(columns)})
     names = ["column", "n", "mean", "median", "std", "min", "max", "q1", "q3"]
-    rows = [(F.lit(c), F.col(f"s{i}.n"), F.col(f"s{i}.mean"), F.col(f"q.median_{i}"),
+    rows = [(F.lit(c), F.col(f"s{i}.n"), F.col(f"s{i}.mean"), F.col(f"median_{i}"),
              F.col(f"s{i}.std"), F.col(f"s{i}.min"), F.col(f"s{i}.max"),
-             F.col(f"q.q1_{i}"), F.col(f"q.q3_{i}")) for i, c in enumerate(columns)]
+             F.col(f"q1_{i}"), F.col(f"q3_{i}")) for i, c in enumerate(columns)]
     return unpivot(one, rows, names).filter(F.col("n") >= 2)
 
 
@@ -341,7 +343,6 @@ def profile(df: DataFrame, approx_distinct: bool = False, limit: int = LIMIT) ->
     """
     spark = df.sparkSession
     votes = {r["column"]: r for r in type_votes(df).collect()}
-    nulls = {r["column"]: r for r in null_profile(df).collect()}
     w = Window.partitionBy("column").orderBy("whole", "real", "text")
     if approx_distinct:
         distinct = {r["column"]: r["cardinality"] for r in cardinality(df, approx=True).collect()}
@@ -366,7 +367,9 @@ def profile(df: DataFrame, approx_distinct: bool = False, limit: int = LIMIT) ->
     numeric = [c for c in df.columns if votes[c]["dtype"] == "numeric" and not binary(c)]
     stats, outliers = {}, {}
     if numeric:
-        stats = {r["column"]: r for r in numeric_stats(df, numeric, limit).collect()}
+        bound = {c: votes[c]["n_present"] for c in numeric if votes[c]["numeric_share"] == 1.0}
+        known = bound if len(bound) == len(numeric) else None
+        stats = {r["column"]: r for r in numeric_stats(df, numeric, limit, known).collect()}
         measured = [c for c in numeric if c in stats]
         counts = []
         for c in measured:
@@ -378,14 +381,14 @@ def profile(df: DataFrame, approx_distinct: bool = False, limit: int = LIMIT) ->
             row = df.agg(*counts).first()
             outliers = {c: row[i] for i, c in enumerate(measured)}
 
-    rows = []
+    rows, n_rows = [], votes[df.columns[0]]["n_rows"]
     for i, c in enumerate(df.columns):
         s = stats.get(c)
         is_binary = binary(c)
         rows.append((
             i, c, votes[c]["kind"], "boolean" if is_binary else votes[c]["dtype"],
-            votes[c]["dtype"], is_binary, nulls[c]["n_rows"], nulls[c]["null_count"],
-            nulls[c]["null_rate"], distinct.get(c, 0),
+            votes[c]["dtype"], is_binary, n_rows, n_rows - votes[c]["n_present"],
+            (n_rows - votes[c]["n_present"]) / n_rows if n_rows else 0.0, distinct.get(c, 0),
             *[float(s[k]) if s and s[k] is not None else None
               for k in ("mean", "median", "std", "min", "max", "q1", "q3")],
             outliers.get(c), samples.get(c, []),

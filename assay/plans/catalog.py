@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assay.plans import group_queries, stat_queries
+from assay.plans import clean_queries, group_queries, stat_queries
 
-MODULES = [group_queries, stat_queries]
+MODULES = [group_queries, stat_queries, clean_queries]
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in MODULES for name, q in m.ORACLE.items()}

@@ -9,6 +9,7 @@ from assay.operators import stats as st
 from assay.operators import timeseries as t
 from assay.plans.group_queries import SALES_SQL, SALES_WITH
 from assay.plans.rounding import rounded
+from assay.session import keep
 from assay.sources.tables import DIRTY_COLUMNS, dirty_sales, sales, table
 
 DIRTY_SQL = (
@@ -48,12 +49,12 @@ QUERIES = {
         table(s, d, "labels"), "quality", binary=True)),
     "outlier_values": lambda s, d: rounded(p.outlier_values(table(s, d, "events"), "value"), 4),
     "column_detail": lambda s, d: rounded(p.column_detail(table(s, d, "events"), "value"), 4),
-    "profile": lambda s, d: rounded(p.profile(dirty_sales(s, d)).drop("samples"), 4),
-    "quality_flags": lambda s, d: p.quality_flags(p.profile(dirty_sales(s, d))),
-    "overview": lambda s, d: rounded(p.overview(p.profile(dirty_sales(s, d)))),
+    "profile": lambda s, d: rounded(p.profile(keep(dirty_sales(s, d))).drop("samples"), 4),
+    "quality_flags": lambda s, d: p.quality_flags(p.profile(keep(dirty_sales(s, d)))),
+    "overview": lambda s, d: rounded(p.overview(p.profile(keep(dirty_sales(s, d))))),
     "summary_card": lambda s, d: rounded(
         p.summary(_gappy_orders(s, d), p.profile(_gappy_orders(s, d)))),
-    "target_column": lambda s, d: p.target_column(p.profile(sales(s, d, *MEASURES, "region"))),
+    "target_column": lambda s, d: p.target_column(p.profile(keep(sales(s, d, *MEASURES, "region")))),
     "describe": lambda s, d: rounded(st.describe(
         dirty_sales(s, d, "revenue", "quantity"), ["revenue", "quantity"]), 4, confidence=6),
     "correlation_pairs": lambda s, d: rounded(st.correlation_pairs(

@@ -41,3 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Cache a frame that several jobs read; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out to all of them; any other scan unchanged.
+
+    For one-file inputs ahead of CPU-bound work. A large table has more splits than cores and is
+    never shuffled here.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

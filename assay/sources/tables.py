@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.session import spread
+
 REVENUE = "l_extendedprice * (1 - l_discount)"
 COST = "p_retailprice * l_quantity"
 
@@ -83,7 +85,7 @@ DIRTY_COLUMNS: dict[str, str] = {
 def dirty_sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Sales rows with missing values, null words, case variants, text numbers and duplicates."""
     wanted = columns or tuple(DIRTY_COLUMNS)
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"))
     if "segment" in wanted:
         df = df.join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
         df = df.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
