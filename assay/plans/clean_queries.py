@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from assay.operators import cleaning as c
 from assay.operators import profiling as p
-from assay.plans.rounding import rounded
+from assay.plans.helpers import once, rounded
 from assay.plans.stat_queries import DIRTY_SQL, DIRTY_WITH
 from assay.session import keep
 from assay.sources.tables import dirty_sales, table
 
 
+@once
 def _audit(spark, sf_dir):
     raw = keep(dirty_sales(spark, sf_dir))
     return c.clean(raw, p.profile(raw))

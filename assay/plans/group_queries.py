@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assay.operators import groups as g
 from assay.operators import predicates as p
 from assay.operators import ranking as r
-from assay.plans.rounding import rounded
+from assay.plans.helpers import rounded
 from assay.sources.tables import SALES_COLUMNS, sales
 
 SALES_SQL = (

@@ -8,7 +8,7 @@ from assay.operators import profiling as p
 from assay.operators import stats as st
 from assay.operators import timeseries as t
 from assay.plans.group_queries import SALES_SQL, SALES_WITH
-from assay.plans.rounding import rounded
+from assay.plans.helpers import once, rounded
 from assay.session import keep
 from assay.sources.tables import DIRTY_COLUMNS, dirty_sales, sales, table
 
@@ -19,6 +19,8 @@ DIRTY_SQL = (
 )
 DIRTY_WITH = DIRTY_SQL.rstrip() + ", "
 MEASURES = ["revenue", "quantity", "discount", "profit"]
+# interpolation of values with four decimals gives six: seven never falls on a rounding edge
+QUANTILES = {"q1": 7, "median": 7, "q3": 7}
 
 
 def _gappy_orders(spark, sf_dir):
@@ -28,6 +30,11 @@ def _gappy_orders(spark, sf_dir):
         F.month("o_orderdate").alias("m"))
 
 
+@once
+def _dirty_profile(spark, sf_dir):
+    return p.profile(keep(dirty_sales(spark, sf_dir)))
+
+
 QUERIES = {
     "null_profile": lambda s, d: rounded(p.null_profile(dirty_sales(s, d))),
     "missing_summary": lambda s, d: rounded(p.missing_summary(dirty_sales(s, d))),
@@ -38,9 +45,10 @@ QUERIES = {
     "infer_types": lambda s, d: rounded(p.infer_types(dirty_sales(s, d))),
     "duplicate_count": lambda s, d: p.duplicate_count(_gappy_orders(s, d)),
     "numeric_stats": lambda s, d: rounded(p.numeric_stats(
-        sales(s, d, *MEASURES), MEASURES), 4),
+        sales(s, d, *MEASURES), MEASURES), 4, **QUANTILES),
     "numeric_stats_dirty": lambda s, d: rounded(p.numeric_stats(
-        dirty_sales(s, d, "revenue", "units_txt", "sparse"), ["revenue", "units_txt", "sparse"]), 4),
+        dirty_sales(s, d, "revenue", "units_txt", "sparse"), ["revenue", "units_txt", "sparse"]), 4,
+        **QUANTILES),
     "iqr_outliers": lambda s, d: rounded(p.iqr_outliers(
         table(s, d, "events"), ["value", "user_id"]), 4),
     "histogram": lambda s, d: rounded(p.histogram(table(s, d, "events"), "value"), 4),
@@ -49,14 +57,14 @@ QUERIES = {
         table(s, d, "labels"), "quality", binary=True)),
     "outlier_values": lambda s, d: rounded(p.outlier_values(table(s, d, "events"), "value"), 4),
     "column_detail": lambda s, d: rounded(p.column_detail(table(s, d, "events"), "value"), 4),
-    "profile": lambda s, d: rounded(p.profile(keep(dirty_sales(s, d))).drop("samples"), 4),
-    "quality_flags": lambda s, d: p.quality_flags(p.profile(keep(dirty_sales(s, d)))),
-    "overview": lambda s, d: rounded(p.overview(p.profile(keep(dirty_sales(s, d))))),
+    "profile": lambda s, d: rounded(_dirty_profile(s, d).drop("samples"), 4, **QUANTILES),
+    "quality_flags": lambda s, d: p.quality_flags(_dirty_profile(s, d)),
+    "overview": lambda s, d: rounded(p.overview(_dirty_profile(s, d))),
     "summary_card": lambda s, d: rounded(
         p.summary(_gappy_orders(s, d), p.profile(_gappy_orders(s, d)))),
     "target_column": lambda s, d: p.target_column(p.profile(keep(sales(s, d, *MEASURES, "region")))),
     "describe": lambda s, d: rounded(st.describe(
-        dirty_sales(s, d, "revenue", "quantity"), ["revenue", "quantity"]), 4, confidence=6),
+        dirty_sales(s, d, "revenue", "quantity"), ["revenue", "quantity"]), 4, confidence=6, **QUANTILES),
     "correlation_pairs": lambda s, d: rounded(st.correlation_pairs(
         sales(s, d, *MEASURES), MEASURES), 6),
     "correlation_all": lambda s, d: rounded(st.correlation_pairs(
@@ -184,14 +192,14 @@ ORACLE = {
          month(o_orderdate))""",
     "numeric_stats": SALES_SQL + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, round(avg({c}), 4) AS mean,
-            round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
-            round(max({c}), 4) AS max, round(quantile_cont({c}, 0.25), 4) AS q1,
-            round(quantile_cont({c}, 0.75), 4) AS q3 FROM sales""" for c in MEASURES),
+            round(median({c}), 7) AS median, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
+            round(max({c}), 4) AS max, round(quantile_cont({c}, 0.25), 7) AS q1,
+            round(quantile_cont({c}, 0.75), 7) AS q3 FROM sales""" for c in MEASURES),
     "numeric_stats_dirty": DIRTY_SQL + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(count(v) AS BIGINT) AS n, round(avg(v), 4) AS mean,
-            round(median(v), 4) AS median, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min,
-            round(max(v), 4) AS max, round(quantile_cont(v, 0.25), 4) AS q1,
-            round(quantile_cont(v, 0.75), 4) AS q3
+            round(median(v), 7) AS median, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min,
+            round(max(v), 4) AS max, round(quantile_cont(v, 0.25), 7) AS q1,
+            round(quantile_cont(v, 0.75), 7) AS q3
             FROM (SELECT TRY_CAST({c} AS DOUBLE) AS v FROM dirty)"""
         for c in ("revenue", "units_txt", "sparse")),
     "iqr_outliers": " UNION ALL ".join(
@@ -225,8 +233,8 @@ ORACLE = {
         UNION ALL SELECT 'outlier', CAST(k AS INTEGER), 'value', round(value, 4) FROM outliers
             WHERE k < 100""",
     "profile": _PROFILE + """SELECT * REPLACE (round(null_rate, 4) AS null_rate, round(mean, 4) AS mean,
-        round(median, 4) AS median, round(std, 4) AS std, round(min, 4) AS min, round(max, 4) AS max,
-        round(q1, 4) AS q1, round(q3, 4) AS q3) FROM prof""",
+        round(median, 7) AS median, round(std, 4) AS std, round(min, 4) AS min, round(max, 4) AS max,
+        round(q1, 7) AS q1, round(q3, 7) AS q3) FROM prof""",
     "quality_flags": _FLAGS + "SELECT * FROM flags",
     "overview": _FLAGS + """SELECT CAST(count(*) FILTER (WHERE null_rate < 1) AS BIGINT) AS n_valid,
         (SELECT CAST(count(*) AS BIGINT) FROM flags WHERE flag = 'high_cardinality') AS n_high_cardinality,
@@ -245,9 +253,9 @@ ORACLE = {
     "target_column": """SELECT 'revenue' AS "column" """,
     "describe": DIRTY_SQL + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, round(avg({c}), 4) AS mean,
-            round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
-            round(max({c}), 4) AS max, round(quantile_cont({c}, 0.25), 4) AS q1,
-            round(quantile_cont({c}, 0.75), 4) AS q3, round(max({c}) - min({c}), 4) AS range,
+            round(median({c}), 7) AS median, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
+            round(max({c}), 4) AS max, round(quantile_cont({c}, 0.25), 7) AS q1,
+            round(quantile_cont({c}, 0.75), 7) AS q3, round(max({c}) - min({c}), 4) AS range,
             round(least(1, stddev_samp({c}) / abs(avg({c}))), 4) AS impact,
             round(greatest(0.5, count({c}) / count(*)), 6) AS confidence,
             CASE WHEN 1 - count({c}) / count(*) > 0.6 THEN 'high'

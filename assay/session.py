@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -24,18 +25,27 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, one machine) a temporary folder is made, once per session.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="assay-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the reliable checkpoint folder, read back from there on.
+    """``df`` written once as a table in the checkpoint folder, and read back from there.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset (tests, one
-    machine) a temporary folder is made.
+    A written table survives lost executors like a checkpoint does, and unlike a checkpoint it is
+    columnar: later passes read only the columns they name.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="assay-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(df.sparkSession)}/assay-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:

@@ -1,0 +1,110 @@
+import pytest
+from pyspark.sql import functions as F
+
+from assay.operators import cleaning as c
+from assay.operators import profiling as p
+
+
+def values(df, name):
+    return [r[0] for r in df.select(name).collect()]
+
+
+def test_tidy_and_null_words(frame):
+    df = frame("s string", [("  a   b ",), (" N/A ",), ("-",), ("",), ("na",), ("nab",), (None,)])
+    assert values(c.clean_strings(df, ["s"]), "s") == ["a b", None, None, None, None, "nab", None]
+
+
+def test_title_case_follows_any_non_letter(frame):
+    df = frame("s string", [("o'neil SMITH-jones",), ("3rd élan",), (None,)])
+    assert values(df.select(c.title_case(F.col("s")).alias("s")), "s") == \
+        ["O'Neil Smith-Jones", "3Rd Élan", None]
+
+
+def test_case_only_where_variants_exist(frame):
+    df = frame("a string, b string", [("North", "eBay"), ("NORTH", "eBay"), ("south", "iPod")])
+    out = c.normalise_case(df, ["a", "b"])
+    assert values(out, "a") == ["North", "North", "South"] and values(out, "b") == ["eBay", "eBay", "iPod"]
+
+
+def test_money(frame):
+    df = frame("s string", [("$41.94 ",), ("1,234,567",), ("€ 5",), ("12d",), (None,)])
+    assert values(c.coerce_numeric(df, ["s"]), "s") == [41.94, 1234567.0, 5.0, None, None]
+
+
+def test_boolean_is_all_or_nothing(frame):
+    df = frame("a string, b string", [("Yes", "on"), ("off", "maybe"), (None, None)])
+    out = c.standardise_bool(df, ["a", "b"])
+    assert values(out, "a") == [1, 0, None] and values(out, "b") == ["on", "maybe", None]
+
+
+def test_mode_takes_smallest_of_ties(frame):
+    df = frame("g string, n int", [("b", 2), ("a", 10), ("b", 2), ("a", 10), (None, None)])
+    assert {r["column"]: r["mode"] for r in c.modes(df, ["g", "n"]).collect()} == {"g": "a", "n": "2"}
+    assert values(c.impute_mode(df, ["g", "n"]), "n") == [2, 10, 2, 10, 2]
+
+
+def test_date_parts(frame):
+    df = frame("d string", [("2024-03-02",), ("2/29/2024",), ("bad",), (None,)])
+    out = c.date_parts(c.parse_dates(df, ["d"]), "d").collect()
+    assert [r["d__weekday"] for r in out] == ["Saturday", "Thursday", None, None]
+    assert [r["d__is_weekend"] for r in out] == [1, 0, 0, 0]
+    assert out[0]["d__month_name"] == "March" and out[0]["d__day_of_year"] == 62
+
+
+def test_outlier_severity(frame):
+    base = [float(i) for i in range(1, 21)]
+    rows = [(i, v, 1.0) for i, v in enumerate(base + [34.0, 200.0])]
+    out = c.flag_outliers(frame("id int, v double, z double", rows), ["v", "z"]).orderBy("id").collect()
+    assert [r[c.SEVERITY] for r in out] == [0] * 20 + [1, 2]
+    assert [r[c.FLAG] for r in out] == [0] * 20 + [1, 1]
+
+
+def test_zero_spread_and_short_columns_have_no_fences(frame):
+    df = frame("z double, s double", [(1.0, float(i) if i < 3 else None) for i in range(10)])
+    assert c.outlier_fences(df, ["z", "s"]) == {}
+
+
+def test_pipeline(frame):
+    rows = []
+    for i in range(100):
+        rows.append((i, ["north", "NORTH", " South "][i % 3], None if i % 10 == 0 else float(i),
+                     f"${i},000", "yes" if i % 2 else "No", f"2024-01-{i % 28 + 1:02d}",
+                     float(i) if i < 15 else None, "same"))
+    rows += rows[:5]
+    df = frame("row_id int, region string, amount double, price string, flag string, day string,"
+               " sparse double, constant string", rows)
+    prof = p.profile(df)
+    clean, audit = c.clean(df, prof)
+    log = {(r["column"], r["operation"]): r for r in audit.collect()}
+    assert clean.count() == 100 and log[(None, "duplicate_removal")]["rows_affected"] == 5
+    assert "sparse" not in clean.columns and "constant" not in clean.columns
+    assert {r[0] for r in clean.select("region").distinct().collect()} == {"North", "South"}
+    assert log[("amount", "median_imputation")]["rows_affected"] == 10
+    assert clean.filter("amount IS NULL").count() == 0
+    assert {r[0] for r in clean.select("flag").distinct().collect()} == {0, 1}
+    assert clean.schema["day"].dataType.simpleString() == "timestamp_ntz"
+    assert "day__quarter" in clean.columns and c.FLAG in clean.columns
+    # cleaning the clean rows changes no value
+    kept = clean.drop(*[x for x in clean.columns if x.startswith("day__") or x.startswith("__")])
+    again, second = c.clean(kept, p.profile(kept))
+    assert again.select(*kept.columns).exceptAll(kept).count() == 0
+    operations = {r["operation"] for r in second.filter("step < 10").collect()}
+    assert operations == set()
+
+
+def test_identifiers_are_left_alone(frame):
+    df = frame("customer_id double, v double", [(None if i == 3 else float(i), float(i)) for i in range(30)])
+    clean, _ = c.clean(df, p.profile(df))
+    assert clean.filter("customer_id IS NULL").count() == 1
+
+
+def test_row_level_steps_run_on_streams(spark, tmp_path):
+    spark.createDataFrame([(" a  b ", "yes")], "s string, f string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("s string, f string").parquet(str(tmp_path / "in"))
+    out = c.clean_strings(stream, ["s"]).withColumn("f", c.yes_no(F.col("f")))
+    query = out.writeStream.format("memory").queryName("tidied").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [tuple(r) for r in spark.table("tidied").collect()] == [("a b", 1)]
