@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,17 +87,11 @@ def quantile_row(df: DataFrame, wanted: dict[str, tuple[str | Column, float]],
                 low = min(int(math.floor(position)), n - 1)
                 brackets.append(
                     Bracket(name, column, low, min(low + 1, n - 1), position - low, n))
-    picked = _pick_ranks(df, narrow(df, brackets, limit))
-    found = picked.agg(*[
-        F.max(F.when(F.col("target") == name, F.col("value"))).alias(name) for name in wanted
-    ])
+    found = {r["target"]: r["value"] for r in _pick_ranks(df, narrow(df, brackets, limit)).collect()}
+    values = [F.lit(found.get(n)).cast("double").alias(n) for n in wanted]
     if not also:
-        return found
-    packed = found.select(F.struct(*wanted).alias("q")).scalar()
-    return (
-        df.agg(*[a.alias(n) for n, a in also.items()]).withColumn("__q", packed)
-        .select(*[F.col(f"__q.{n}").alias(n) for n in wanted], *also)
-    )
+        return df.sparkSession.range(1).select(*values)
+    return df.agg(*[a.alias(n) for n, a in also.items()]).select(*values, *also)
 
 
 def narrow(df: DataFrame, brackets: list[Bracket], limit: int = LIMIT) -> list[Bracket]:
@@ -127,7 +122,6 @@ def narrow(df: DataFrame, brackets: list[Bracket], limit: int = LIMIT) -> list[B
             F.struct(
                 F.count_if(t.column < F.lit(t.low)).alias("below"),
                 F.count_if(t.holds()).alias("inside"),
-                F.approx_count_distinct(F.when(t.holds(), t.column)).alias("distinct"),
             ).alias(f"b{i}") for i, t in enumerate(trial)
         ]).first()
         missed = False
@@ -135,11 +129,18 @@ def narrow(df: DataFrame, brackets: list[Bracket], limit: int = LIMIT) -> list[B
             s = seen[f"b{i}"]
             if s["below"] <= b.low_rank and b.high_rank < s["below"] + s["inside"]:
                 b.low, b.high = t.low, t.high
-                b.below, b.inside, b.distinct = s["below"], s["inside"], s["distinct"]
+                b.below, b.inside, b.distinct = s["below"], s["inside"], None
             else:
                 missed = True
         if missed:
             width = min(0.5, width * 8)
+        # many rows may still be few values: those need no further narrowing
+        crowded = [b for b in todo if b.inside > limit]
+        if crowded:
+            kinds = df.agg(*[F.approx_count_distinct(F.when(b.holds(), b.column)).alias(f"d{i}")
+                             for i, b in enumerate(crowded)]).first()
+            for i, b in enumerate(crowded):
+                b.distinct = kinds[i]
     return brackets
 
 
@@ -155,8 +156,9 @@ def values_inside(df: DataFrame, brackets: list[Bracket]) -> DataFrame:
         F.when(b.holds(), F.struct(F.lit(b.name).alias("target"), b.column.alias("value")))
         for b in brackets
     ]))
+    anywhere = reduce(lambda x, y: x | y, [b.holds() for b in brackets])
     return (
-        df.select(F.inline(hits)).groupBy("target", "value")
+        df.filter(anywhere).select(F.inline(hits)).groupBy("target", "value")
         .agg(F.count("*").alias("n"))
     )
 
