@@ -184,3 +184,6 @@ ORACLE = {
         CASE WHEN {_EXTREME} THEN 2 WHEN {_MILD} THEN 1 ELSE 0 END AS __outlier_severity__,
         CASE WHEN {_EXTREME} OR {_MILD} THEN 1 ELSE 0 END AS __outlier_flag__ FROM filled, spread""",
 }
+
+ORACLE["audit_summary"] = f"""SELECT step, operation, CAST(count(*) AS BIGINT) AS n_columns,
+    CAST(sum(rows_affected) AS BIGINT) AS rows_affected FROM ({ORACLE["clean_audit"]}) GROUP BY ALL"""

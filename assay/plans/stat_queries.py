@@ -57,6 +57,8 @@ QUERIES = {
         table(s, d, "labels"), "quality", binary=True)),
     "outlier_values": lambda s, d: rounded(p.outlier_values(table(s, d, "events"), "value"), 4),
     "column_detail": lambda s, d: rounded(p.column_detail(table(s, d, "events"), "value"), 4),
+    "compare_versions": lambda s, d: rounded(p.compare_versions(
+        table(s, d, "events"), table(s, d, "events").filter("value < 200"), "value"), 4),
     "profile": lambda s, d: rounded(_dirty_profile(s, d).drop("samples"), 4, **QUANTILES),
     "quality_flags": lambda s, d: p.quality_flags(_dirty_profile(s, d)),
     "overview": lambda s, d: rounded(p.overview(_dirty_profile(s, d))),
@@ -71,7 +73,7 @@ QUERIES = {
         dirty_sales(s, d, "revenue", "quantity", "sparse", "row_id"),
         ["revenue", "quantity", "sparse", "row_id"], min_abs=0.0, top=None), 6),
     "correlation": lambda s, d: rounded(st.correlation(
-        sales(s, d, "quantity", "discount"), "quantity", "discount"), 6),
+        sales(s, d, "quantity", "revenue"), "quantity", "revenue").drop("p_value", "significant"), 6),
     "shape_stats": lambda s, d: rounded(st.shape_stats(
         table(s, d, "events"), ["value", "user_id"], min_skew=0.0), 5),
     "pareto": lambda s, d: rounded(st.pareto(table(s, d, "events"), "value"), 4),
@@ -277,6 +279,11 @@ ORACLE = {
             WHEN abs(r) >= 0.6 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength,
             CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM pairs
         WHERE r IS NOT NULL AND NOT isnan(r)""",
+    "correlation": SALES_SQL + """SELECT 'quantity' AS a, 'revenue' AS b, round(r, 6) AS r, n,
+        CASE WHEN abs(r) >= 0.8 THEN 'very strong' WHEN abs(r) >= 0.6 THEN 'strong'
+             WHEN abs(r) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength,
+        CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM
+        (SELECT corr(quantity, revenue) AS r, CAST(count(*) AS BIGINT) AS n FROM sales)""",
     "shape_stats": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, round(skewness({c}), 5) AS skewness,
             round(kurtosis({c}), 5) AS kurtosis,
