@@ -85,9 +85,14 @@ def totals_of(df: DataFrame, **aggregates: Column) -> Column:
 
 
 def add_totals(df: DataFrame, **aggregates: Column) -> DataFrame:
-    """``df`` with one-row aggregates over all of it appended as columns."""
+    """``df`` with one-row aggregates over all of it appended as columns.
+
+    ``df`` (a grouped frame) is wanted twice, row by row and in total. The totals read all of its
+    columns, so both uses have the same shuffle and Spark runs it once.
+    """
+    whole = F.max(F.struct(*[col(c) for c in df.columns]))
     return (
-        df.withColumn("__t", totals_of(df, **aggregates))
+        df.withColumn("__t", totals_of(df, **aggregates, __all=whole))
         .select(*[col(c) for c in df.columns],
                 *[F.col(f"__t.{name}").alias(name) for name in aggregates])
     )

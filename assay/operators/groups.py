@@ -117,7 +117,8 @@ def groups_vs_average(df: DataFrame, key: str, metric: str, side: str = "above",
                       by: str = "total") -> DataFrame:
     """Groups strictly above (or below) the mean of the groups."""
     measure = F.col(by)
-    out = add_totals(_grouped(df, [key], metric), group_mean=F.avg(measure))
+    out = add_totals(_grouped(df, [key], metric).select(col(key), measure),
+                     group_mean=F.avg(measure))
     keep = measure > F.col("group_mean") if side == "above" else measure < F.col("group_mean")
     order = measure.desc() if side == "above" else measure.asc()
     return (
@@ -199,12 +200,9 @@ def derived_metric(df: DataFrame, numerator: str, denominator: str,
                    limit: int = LIMIT) -> DataFrame:
     """Mean, median, std, minimum, maximum and count of numerator / denominator."""
     derived = df.select(ratio(col(numerator), col(denominator)).alias("d"))
-    median = quantile_row(derived, {"median": ("d", 0.5)}, limit).scalar()
-    return (
-        derived.agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"),
-                    F.min("d").alias("min"), F.max("d").alias("max"), F.count("d").alias("n"))
-        .withColumn("median", median).filter(F.col("n") > 0)
-    )
+    return quantile_row(derived, {"median": ("d", 0.5)}, limit, also={
+        "mean": F.avg("d"), "std": F.stddev_samp("d"), "min": F.min("d"), "max": F.max("d"),
+        "n": F.count("d")}).filter(F.col("n") > 0)
 
 
 def derived_metric_by_group(df: DataFrame, numerator: str, denominator: str, key: str,
@@ -221,20 +219,18 @@ def derived_metric_by_group(df: DataFrame, numerator: str, denominator: str, key
 def open_summary(df: DataFrame, metrics: list[str], limit: int = LIMIT) -> DataFrame:
     """Mean, median and standard deviation of the first three metrics."""
     metrics = metrics[:3]
-    medians = quantile_row(df, {f"m{i}": (m, 0.5) for i, m in enumerate(metrics)}, limit)
-    one = df.agg(*[
-        F.struct(F.avg(col(m)).alias("mean"), F.stddev_samp(col(m)).alias("std")).alias(f"m{i}")
-        for i, m in enumerate(metrics)
-    ]).withColumn("med", medians.select(F.struct(*medians.columns)).scalar())
-    return unpivot(one, [(F.lit(m), F.col(f"m{i}.mean"), F.col(f"med.m{i}"), F.col(f"m{i}.std"))
+    one = quantile_row(df, {f"median{i}": (m, 0.5) for i, m in enumerate(metrics)}, limit, also={
+        f"m{i}": F.struct(F.avg(col(m)).alias("mean"), F.stddev_samp(col(m)).alias("std"))
+        for i, m in enumerate(metrics)})
+    return unpivot(one, [(F.lit(m), F.col(f"m{i}.mean"), F.col(f"median{i}"), F.col(f"m{i}.std"))
                          for i, m in enumerate(metrics)], ["column", "mean", "median", "std"])
 
 
 def seasonal_pattern(df: DataFrame, ts: str, metric: str) -> DataFrame:
     """Mean per month, weekday and quarter, with the peak of each season marked.
 
-    The data is reduced once to one row per day of the year and weekday pattern (month, weekday:
-    at most 84 rows); the three seasons are read from those partial sums.
+    The data is reduced once to sums per month and weekday (at most 84 rows); the three seasons
+    are read from those.
     """
     month, weekday = F.month(col(ts)), F.weekday(col(ts))
     parts = (

@@ -63,16 +63,15 @@ def _beyond(column: str, word_or_direction: str, cutoff: Column) -> Column:
 def threshold_analysis(df: DataFrame, column: str, cutoff: float, target: str,
                        direction: str = "above", limit: int = LIMIT) -> DataFrame:
     """Rows at or beyond a cutoff: count, share of all rows, mean / sum / median of the target."""
-    kept = F.when(_beyond(column, direction, F.lit(cutoff)), F.lit(1))
-    inside = F.when(kept.isNotNull(), col(target).cast("double"))
-    counts = df.agg(
-        F.count(kept).alias("n_rows"),
-        (ratio(F.count(kept), F.count("*")) * 100).alias("pct_of_data"),
-        F.avg(inside).alias("target_mean"),
-        F.sum(inside).alias("target_sum"),
-    )
-    median = quantile_row(df.select(inside.alias("v")), {"target_median": ("v", 0.5)}, limit)
-    return counts.withColumn("target_median", median.scalar())
+    hit = _beyond(column, direction, F.lit(cutoff))
+    values = df.select(F.when(hit, F.lit(1)).alias("hit"),
+                       F.when(hit, col(target).cast("double")).alias("v"))
+    return quantile_row(values, {"target_median": ("v", 0.5)}, limit, also={
+        "n_rows": F.count("hit"),
+        "pct_of_data": ratio(F.count("hit"), F.count("*")) * 100,
+        "target_mean": F.avg("v"),
+        "target_sum": F.sum("v"),
+    })
 
 
 def compound_filter(df: DataFrame, first: tuple[str, str], second: tuple[str, str],

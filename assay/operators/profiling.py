@@ -254,6 +254,12 @@ def numeric_stats(df: DataFrame, columns: list[str], limit: int = LIMIT,
 
     ``counts`` (present values per column) saves a scan where the caller has them.
     """
+    return stats_with_rows(df, columns, limit, counts).drop("n_rows")
+
+
+def stats_with_rows(df: DataFrame, columns: list[str], limit: int = LIMIT,
+                    counts: dict[str, int] | None = None) -> DataFrame:
+    """``numeric_stats`` with the number of rows of the table, from the same scan."""
     values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     one = quantile_row(values, {
         f"{q}_{i}": (f"c{i}", p) for i in range(len(columns))
@@ -262,11 +268,11 @@ def numeric_stats(df: DataFrame, columns: list[str], limit: int = LIMIT,
         f"s{i}": F.struct(F.count(f"c{i}").alias("n"), F.avg(f"c{i}").alias("mean"),
                           F.stddev_samp(f"c{i}").alias("std"), F.min(f"c{i}").alias("min"),
                           F.max(f"c{i}").alias("max")) for i in range(len(columns))
-    }, counts=counts and {f"c{i}": counts[c] for i, c in enumerate(columns)})
-    names = ["column", "n", "mean", "median", "std", "min", "max", "q1", "q3"]
+    } | {"n_rows": F.count("*")}, counts=counts and {f"c{i}": counts[c] for i, c in enumerate(columns)})
+    names = ["column", "n", "mean", "median", "std", "min", "max", "q1", "q3", "n_rows"]
     rows = [(F.lit(c), F.col(f"s{i}.n"), F.col(f"s{i}.mean"), F.col(f"median_{i}"),
              F.col(f"s{i}.std"), F.col(f"s{i}.min"), F.col(f"s{i}.max"),
-             F.col(f"q1_{i}"), F.col(f"q3_{i}")) for i, c in enumerate(columns)]
+             F.col(f"q1_{i}"), F.col(f"q3_{i}"), F.col("n_rows")) for i, c in enumerate(columns)]
     return unpivot(one, rows, names).filter(F.col("n") >= 2)
 
 

@@ -14,7 +14,7 @@ from assay.functions.orderstats import (
     ACCURACY, LIMIT, MAX_ROUNDS, Bracket, narrow, per_target, values_inside)
 from assay.functions.pvalues import p_value
 from assay.operators.groups import MAX_GROUPS
-from assay.operators.profiling import as_double, numeric_stats
+from assay.operators.profiling import as_double, stats_with_rows
 
 MIN_CORRELATION = 0.30
 MIN_SKEW = 1.0
@@ -33,11 +33,10 @@ def reliability(null_rate: Column, n: Column) -> Column:
 
 def describe(df: DataFrame, columns: list[str], limit: int = LIMIT) -> DataFrame:
     """Statistics of each column with range, relative spread and confidence."""
-    n_rows = df.agg(F.count("*")).scalar()
     spread = F.col("std") / F.greatest(F.abs(F.col("mean")), F.lit(TINY))
     null_rate = 1 - F.col("n") / F.col("n_rows")
     return (
-        numeric_stats(df, columns, limit).withColumn("n_rows", n_rows)
+        stats_with_rows(df, columns, limit)
         .withColumn("range", F.col("max") - F.col("min"))
         .withColumn("impact", F.least(F.lit(1.0), spread))
         .withColumn("confidence", F.greatest(F.lit(0.5), 1 - null_rate))
