@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,11 @@ def covered_columns(df: DataFrame, columns: list[str], share: float = COVERAGE)
 def _complete(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
     """The columns as doubles (with key columns), rows with a gap left out."""
     out = df.select(*[col(k) for k in keys], *[as_double(df, c).alias(c) for c in columns])
-    return out.dropna(subset=columns)
+    return out.filter(reduce(lambda a, b: a & b, [col(c).isNotNull() for c in columns]))
+
+
+def _vector(columns: list[str]) -> Column:
+    return array_to_vector(F.array(*[col(c) for c in columns]))
 
 
 # --- feature importance ------------------------------------------------------------------------------
@@ -58,8 +64,7 @@ def feature_importance(df: DataFrame, target: str, features: list[str], trees: i
     schema = "feature string, importance double, importance_pct double, r_squared double, n_rows bigint"
     features = [f for f in features if f != target]
     data = _complete(df, [target, *features])
-    vectors = keep(VectorAssembler(inputCols=features, outputCol="features").transform(data)
-                   .select("features", col(target).alias("label")))
+    vectors = keep(data.select(_vector(features).alias("features"), col(target).alias("label")))
     try:
         n = vectors.count()
         if n < MIN_ROWS_REGRESSION:
@@ -99,8 +104,7 @@ def fit_segments(df: DataFrame, columns: list[str], *keys: str, seed: int = SEED
     columns = covered_columns(df, columns)
     if len(columns) < 2:
         return None
-    data = VectorAssembler(inputCols=columns, outputCol="raw").transform(
-        _complete(df, columns, *keys))
+    data = _complete(df, columns, *keys).withColumn("raw", _vector(columns))
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     scaled = keep(scaler.fit(data).transform(data).drop("raw"))
     n = scaled.count()
@@ -146,7 +150,7 @@ def segment_differences(segments: Segments) -> DataFrame:
 def segment_contrast(segments: Segments) -> DataFrame:
     """Highest and lowest segment on the most differing column, and their ratio if both positive."""
     primary = segment_differences(segments).first()["column"]
-    mean = F.col(f"mean_{primary}")
+    mean = col(f"mean_{primary}")
     best = F.max(F.struct(mean.alias("value"), "segment"))
     worst = F.min(F.struct(mean.alias("value"), "segment"))
     both = (F.col("best.value") > 0) & (F.col("worst.value") > 0)
@@ -181,7 +185,7 @@ def anomalies(df: DataFrame, columns: list[str], *keys: str, contamination: floa
     if n < MIN_ROWS_ANOMALY:
         return None
     size, pool_size = min(sample_size, n), trees * sample_size
-    drawn = data.select(*columns)
+    drawn = data.select(*[col(c) for c in columns])
     if n > pool_size:
         drawn = drawn.sample(fraction=min(1.0, 1.2 * pool_size / n), seed=seed)
     pool = np.array([tuple(r) for r in drawn.limit(2 * pool_size).collect()], dtype=float)

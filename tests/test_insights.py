@@ -92,3 +92,17 @@ def test_small_table_closes_all_gates(frame):
     out = analyse(frame("item string, price double", [("a", 1.5), ("b", 2.5), ("c", 9.0)]))
     assert {r["status"] for r in out.gates.collect()} == {"skipped"}
     assert {r["type"] for r in out.ranked.collect()} <= {"distribution", "ranking"}
+
+
+def test_odd_column_names(frame):
+    from assay.operators import ranking
+    rows = [(f"g {k % 4}", float(k % 17), float(k * 3 % 29), f"2024-{k % 12 + 1:02d}-01", k % 2)
+            for k in range(120)]
+    df = frame("`Lead Studio` string, `unit.price` double, `Rotten Tomatoes %` double,"
+               " `order.date` string, `is.new` int", rows)
+    out = analyse(df)
+    assert out.ranked.count() == 10
+    assert {r["insight_id"].split(":")[0] for r in out.insights.collect()} >= {
+        "describe", "groups", "trend", "segments", "anomalies", "forecast", "importance"}
+    best = ranking.multi_criteria_rank(df, "Lead Studio", ["unit.price", "Rotten Tomatoes %"])
+    assert best.count() == 4
