@@ -96,9 +96,12 @@ def case_variants(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int
             if row[i]["folded"] < row[i]["exact"]}
 
 
-def normalise_case(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Title case for those of the columns that hold case variants of the same value."""
-    return _replace(df, {c: title_case(col(c)) for c in case_variants(df, columns)})
+def normalise_case(df: DataFrame, columns: list[str],
+                   max_values: int = CASE_CARDINALITY) -> DataFrame:
+    """Title case for the columns that hold case variants of a value and few distinct values."""
+    sizes = df.agg(*[F.count_distinct(col(c)) for c in columns]).first()
+    few = [c for c, n in zip(columns, sizes) if n <= max_values]
+    return _replace(df, {c: title_case(col(c)) for c in case_variants(df, few)})
 
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:

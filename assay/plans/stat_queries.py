@@ -139,7 +139,7 @@ _DIRTY_STATS = ", stats AS (" + " UNION ALL ".join(
         (SELECT quantile_cont(CAST({e} AS DOUBLE), 0.25) AS a, quantile_cont(CAST({e} AS DOUBLE), 0.75) AS b
          FROM dirty)""" for c, e in _NUMERIC_DIRTY.items()) + ")"
 
-_PROFILE = _TYPED + _DIRTY_STATS + ", nulls AS (" + _dirty_union(
+PROFILE_SQL = _TYPED + _DIRTY_STATS + ", nulls AS (" + _dirty_union(
     """SELECT {i} AS position, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(count(*) - count({c}) AS BIGINT) AS null_count FROM dirty""") + """),
     prof AS (SELECT types.position, types."column",
@@ -153,7 +153,7 @@ _PROFILE = _TYPED + _DIRTY_STATS + ", nulls AS (" + _dirty_union(
              WHEN base = 'numeric' THEN 'quantity' ELSE 'category' END AS semantic_tag
         FROM types JOIN nulls USING (position) LEFT JOIN stats USING ("column"))"""
 
-_FLAGS = _PROFILE + """, flags AS (
+_FLAGS = PROFILE_SQL + """, flags AS (
     SELECT "column", 'outliers_detected' AS flag, 'low' AS severity FROM prof WHERE outlier_count > 0
     UNION ALL SELECT "column", 'low_variance', 'low' FROM prof WHERE mean <> 0 AND abs(std / mean) < 0.01
     UNION ALL SELECT "column", 'high_missing', CASE WHEN null_rate > 0.6 THEN 'high' ELSE 'medium' END
@@ -234,7 +234,7 @@ ORACLE = {
             n::DOUBLE FROM bins
         UNION ALL SELECT 'outlier', CAST(k AS INTEGER), 'value', round(value, 4) FROM outliers
             WHERE k < 100""",
-    "profile": _PROFILE + """SELECT * REPLACE (round(null_rate, 4) AS null_rate, round(mean, 4) AS mean,
+    "profile": PROFILE_SQL + """SELECT * REPLACE (round(null_rate, 4) AS null_rate, round(mean, 4) AS mean,
         round(median, 7) AS median, round(std, 4) AS std, round(min, 4) AS min, round(max, 4) AS max,
         round(q1, 7) AS q1, round(q3, 7) AS q3) FROM prof""",
     "quality_flags": _FLAGS + "SELECT * FROM flags",
@@ -252,7 +252,13 @@ ORACLE = {
             '' AS high_missing, 'm' AS important, 'm' AS target, 'good' AS quality,
             CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM g)) AS BIGINT) AS n_duplicates
         FROM g""",
-    "target_column": """SELECT 'revenue' AS "column" """,
+    "target_column": SALES_WITH + "candidates AS (" + " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c}' AS "column", stddev_samp({c}) AS std,
+            count(*) FILTER (WHERE {c} IS NULL) / count(*) AS null_rate FROM sales"""
+        for i, c in enumerate(MEASURES)) + """)
+        SELECT "column" FROM candidates WHERE std > 0 AND null_rate < 0.3
+        ORDER BY regexp_matches("column", 'revenue|profit|sales|income|amount|total') DESC, position
+        LIMIT 1""",
     "describe": DIRTY_SQL + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, round(avg({c}), 4) AS mean,
             round(median({c}), 7) AS median, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,

@@ -26,6 +26,13 @@ def test_case_only_where_variants_exist(frame):
     assert values(out, "a") == ["North", "North", "South"] and values(out, "b") == ["eBay", "eBay", "iPod"]
 
 
+def test_case_is_left_alone_above_fifty_values(frame):
+    rows = [(f"v{i}",) for i in range(49)] + [("Ab",), ("AB",)]
+    df = frame("s string", rows)
+    assert "AB" in values(c.normalise_case(df, ["s"]), "s")                  # 51 values
+    assert "AB" not in values(c.normalise_case(df.filter("s <> 'v0'"), ["s"]), "s")
+
+
 def test_money(frame):
     df = frame("s string", [("$41.94 ",), ("1,234,567",), ("€ 5",), ("12d",), (None,)])
     assert values(c.coerce_numeric(df, ["s"]), "s") == [41.94, 1234567.0, 5.0, None, None]
