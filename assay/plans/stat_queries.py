@@ -172,6 +172,23 @@ _BINS = """SELECT CAST(b AS INTEGER) AS bin, round(lo + b * (hi - lo) / 10, 4) A
     FROM (SELECT min(value) AS lo, max(value) AS hi FROM events), range(10) t(b)"""
 _EVENT_Q = """(SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)"""
 
+def _detail(source: str) -> str:
+    """Column detail of events.value; fences and outliers always come from the whole table."""
+    return f"""WITH low_events AS (SELECT * FROM events WHERE value < 200),
+        s AS (SELECT [count(value)::DOUBLE, avg(value), median(value), stddev_samp(value), min(value),
+            max(value), quantile_cont(value, 0.25), quantile_cont(value, 0.75)] AS v FROM {source}),
+        bins AS ({_BINS.replace("FROM events", "FROM " + source)}),
+        outliers AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k FROM events, {_EVENT_Q}
+            WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))
+        SELECT 'stat' AS section, CAST(i AS INTEGER) AS position,
+            ['n', 'mean', 'median', 'std', 'min', 'max', 'q1', 'q3'][i + 1] AS label,
+            round(v[i + 1], 4) AS value FROM s, range(8) t(i)
+        UNION ALL SELECT 'histogram', bin, format('{{:,.2f}}', low) || ' - ' || format('{{:,.2f}}', high),
+            n::DOUBLE FROM bins
+        UNION ALL SELECT 'outlier', CAST(k AS INTEGER), 'value', round(value, 4) FROM outliers
+            WHERE k < 100"""
+
+
 ORACLE = {
     "null_profile": DIRTY_SQL + _dirty_union(
         """SELECT {i} AS position, '{c}' AS "column", CAST(count(*) AS BIGINT) AS n_rows,
@@ -221,19 +238,9 @@ ORACLE = {
         FROM labels GROUP BY quality""",
     "outlier_values": f"""SELECT round(value, 4) AS v FROM events, {_EVENT_Q}
         WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) ORDER BY value LIMIT 100""",
-    "column_detail": f"""WITH s AS (SELECT [count(value)::DOUBLE, avg(value), median(value),
-            stddev_samp(value), min(value), max(value), quantile_cont(value, 0.25),
-            quantile_cont(value, 0.75)] AS v FROM events),
-        bins AS ({_BINS}),
-        outliers AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k FROM events, {_EVENT_Q}
-            WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))
-        SELECT 'stat' AS section, CAST(i AS INTEGER) AS position,
-            ['n', 'mean', 'median', 'std', 'min', 'max', 'q1', 'q3'][i + 1] AS label,
-            round(v[i + 1], 4) AS value FROM s, range(8) t(i)
-        UNION ALL SELECT 'histogram', bin, format('{{:,.2f}}', low) || ' - ' || format('{{:,.2f}}', high),
-            n::DOUBLE FROM bins
-        UNION ALL SELECT 'outlier', CAST(k AS INTEGER), 'value', round(value, 4) FROM outliers
-            WHERE k < 100""",
+    "column_detail": _detail("events"),
+    "compare_versions": f"""SELECT *, 'raw' AS version FROM ({_detail("events")})
+        UNION ALL SELECT *, 'clean' FROM ({_detail("low_events")})""",
     "profile": PROFILE_SQL + """SELECT * REPLACE (round(null_rate, 4) AS null_rate, round(mean, 4) AS mean,
         round(median, 7) AS median, round(std, 4) AS std, round(min, 4) AS min, round(max, 4) AS max,
         round(q1, 7) AS q1, round(q3, 7) AS q3) FROM prof""",
