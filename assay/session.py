@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,13 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is made, once per session.
+    Only a local master (tests, one machine) may go without: there a temporary folder is made, once
+    per session. Elsewhere executors do not see each other's disks, so an unset folder is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="assay-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -41,11 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the checkpoint folder, and read back from there.
 
     A written table survives lost executors like a checkpoint does, and unlike a checkpoint it is
-    columnar: later passes read only the columns they name.
+    columnar: later passes read only the columns they name. It is deleted when the application ends.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/assay-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/assay-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
