@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.llm.bpe import encode_documents
 from assay.llm.decontamination import leaks
 from assay.llm.exact_dedup import exact_duplicates
 from assay.llm.quality import quality_scores
@@ -16,6 +19,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN, columns=("n_tokens", "ids_le", "decoded"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,9 +43,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_decontamination": op4_decontamination,
+    "op5_bpe": op5_bpe,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
