@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from assay.llm.bpe import encode_documents
 from assay.llm.decontamination import leaks
 from assay.llm.exact_dedup import exact_duplicates
+from assay.llm.pii import KINDS, personal_data, spans_text
 from assay.llm.quality import quality_scores
 from assay.llm.simhash import near_duplicates
 from assay.sources.tables import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)).alias(k) for k in KINDS]
+    counts = [(F.size("base") - c).cast("long").alias(f"n_{k}") for c, k in zip(counts, KINDS)]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+                        spans_text(F.array_sort(F.concat("base", "found"))).alias("spans"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +52,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_decontamination": op4_decontamination,
     "op5_bpe": op5_bpe,
     "op7_quality": op7_quality,
