@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from assay.llm.bpe import encode_documents
 from assay.llm.decontamination import leaks
 from assay.llm.exact_dedup import exact_duplicates
+from assay.llm.licenses import license_matches
+from assay.llm.packing import pack
 from assay.llm.pii import KINDS, personal_data, spans_text
 from assay.llm.quality import quality_scores
 from assay.llm.simhash import near_duplicates
+from assay.llm.token_counts import token_counts
 from assay.sources.tables import table
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
@@ -25,14 +30,21 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans_text(F.array_sort(F.concat("base", "found"))).alias("spans"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), RANKS)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-        public_tokenizers.PATTERN, columns=("n_tokens", "ids_le", "decoded"))
+        table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, columns=("n_tokens", "ids_le", "decoded"))
     return found.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -51,13 +63,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, columns=("ids",))
+    return pack(ids)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_licenses": op2_licenses,
+    "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_bpe": op5_bpe,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
     "pipeline": corpus_pipeline.run,
 }
 
