@@ -11,6 +11,7 @@ from assay.llm.bpe import encode_documents
 from assay.llm.decontamination import leaks
 from assay.llm.exact_dedup import exact_duplicates
 from assay.llm.licenses import license_matches
+from assay.llm.lm import score_texts
 from assay.llm.packing import pack
 from assay.llm.pii import KINDS, personal_data, spans_text
 from assay.llm.quality import quality_scores
@@ -49,6 +50,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_bpe": op5_bpe,
+    "op6_lm_scores": op6_lm_scores,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_exact_dedup": op9_exact_dedup,
