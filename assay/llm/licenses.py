@@ -106,6 +106,7 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND)
             best = (score[d + 1], first[d + 1], -last[d + 1]) if d + 1 < width else (0, -1, 1)
             if d and (new[0][d - 1], new[1][d - 1], -new[2][d - 1]) > best:
                 best = (new[0][d - 1], new[1][d - 1], -new[2][d - 1])
+            best = max(best, (score[d], first[d], -last[d]))  # both words skipped, at the edge of the band
             if 0 <= j < len(words) and words[j] == word:
                 start = first[d] if score[d] else j
                 if (score[d] + 1, start, -j) > best:
@@ -165,11 +166,15 @@ class TemplateIndex:
         get = self.vocabulary.get
         words = text.translate(_PLAIN).split()
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        found, spans = [], None
+        found, spans, left = [], None, {}
         for template, shift in self.candidates(ids, band):
             wanted = self.templates[template].ids
-            matched, first, end = align(wanted, ids, shift, band)
-            if matched >= coverage * len(wanted):
+            own = left.setdefault(template, ids.copy())
+            while True:  # notices that follow each other closely lie in one band
+                matched, first, end = align(wanted, own, shift, band)
+                if matched < coverage * len(wanted):
+                    break
+                own[first:end] = -1
                 spans = spans or [m.span() for m in _WORD.finditer(text.decode())]
                 found.append({"license": self.templates[template].name, "matched_words": matched,
                               "coverage": matched / len(wanted), "start": spans[first][0], "end": spans[end - 1][1]})
