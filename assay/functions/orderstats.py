@@ -1,14 +1,15 @@
-"""Exact order statistics that stay distributed.
+"""Exact order statistics that stay distributed, by one path for every size.
 
-``percentile`` keeps one hash-map entry per distinct value in a single task, which is right for a
-hundred thousand values and wrong for a trillion. Above ``limit`` values the rank is found by narrowing:
+``percentile`` keeps one hash-map entry per distinct value in a single task, which does not scale. Here
+a rank is found in three scans:
 
-1. ``percentile_approx`` gives an interval that should hold the wanted rank;
-2. one scan counts the values below and inside the interval, so the interval is *checked*;
-3. repeat inside the interval until it holds at most ``limit`` distinct values;
-4. those few values are grouped, ordered and read off exactly.
+1. counts and ``percentile_approx`` together give an interval that should hold each wanted rank;
+2. one scan counts the values below and inside the intervals, so they are *checked*;
+3. the few distinct values inside are grouped, ordered and read off exactly.
 
-Every step is one partial aggregate with a one-row result; no step moves the column as a whole.
+Only an interval that missed its rank, or holds more than ``limit`` distinct values, is narrowed
+further: by a sketch of what is inside, and by halving its range where the sketch does not help. Every
+step is one partial aggregate with a one-row result; no step moves the column as a whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from assay.functions.exprs import col
 
 LIMIT = 100_000         # values that one task may hold and order
 ACCURACY = 10_000       # of percentile_approx; its rank error is 1 / ACCURACY
-MAX_ROUNDS = 12
+MAX_ROUNDS = 100
 
 
 @dataclass
@@ -41,6 +42,7 @@ class Bracket:
     low: float | None = None
     high: float | None = None
     distinct: int | None = None
+    trial: tuple[float, float] | None = None    # an interval to check next
 
     def holds(self) -> Column:
         """True for the values of the column inside the interval."""
@@ -50,98 +52,89 @@ class Bracket:
 
 
 def quantile_row(df: DataFrame, wanted: dict[str, tuple[str | Column, float]],
-                 limit: int = LIMIT, also: dict[str, Column] | None = None,
-                 counts: dict[str, int] | None = None) -> DataFrame:
+                 limit: int = LIMIT, also: dict[str, Column] | None = None) -> DataFrame:
     """One row with one column per entry of ``wanted``: name -> (column, probability).
 
     Linear interpolation between the neighbouring ranks; NULL for an empty column. ``also`` adds
-    other aggregates to the row (in the same scan where possible). ``counts`` gives the number of
-    present values of columns wanted by name, where the caller knows them already.
+    other aggregates to the row, in the first scan.
     """
     also = also or {}
     by_column: dict[str, tuple[Column, list[tuple[str, float]]]] = {}
     for name, (c, p) in wanted.items():
         key = c if isinstance(c, str) else str(c)
         by_column.setdefault(key, (col(c).cast("double"), []))[1].append((name, float(p)))
-    keys = list(by_column)
-    if counts is None or any(k not in counts for k in keys):
-        row = df.agg(*[F.count(by_column[k][0]).alias(f"n{i}") for i, k in enumerate(keys)]).first()
-        counts = {k: row[i] for i, k in enumerate(keys)}
-
-    if max(counts[k] for k in keys) <= limit:
-        # one map of values per column serves all its probabilities
-        packed = df.agg(
-            *[F.percentile(by_column[k][0], F.array(*[F.lit(p) for _, p in by_column[k][1]]))
-              .alias(f"__q{i}") for i, k in enumerate(keys)],
-            *[a.alias(n) for n, a in also.items()])
-        place = {name: F.col(f"__q{i}")[j] for i, k in enumerate(keys)
-                 for j, (name, _) in enumerate(by_column[k][1])}
-        return packed.select(*[place[n].alias(n) for n in wanted], *also)
-
+    keys, width = list(by_column), 2.0 / ACCURACY
+    scan = df.agg(
+        *[F.struct(F.count(c).alias("n"), F.percentile_approx(
+            c, F.array(*[F.lit(x) for _, p in goals for x in (max(0.0, p - width), min(1.0, p + width))]),
+            F.lit(ACCURACY)).alias("cuts")).alias(f"__q{i}") for i, (c, goals) in enumerate(by_column.values())],
+        *[a.alias(n) for n, a in also.items()])
+    first = scan.first()
     brackets = []
-    for k in keys:
-        column, n = by_column[k][0], counts[k]
-        for name, p in by_column[k][1]:
+    for i, k in enumerate(keys):
+        n, cuts = first[f"__q{i}"]
+        for j, (name, p) in enumerate(by_column[k][1]):
             if n:
                 position = p * (n - 1)
                 low = min(int(math.floor(position)), n - 1)
-                brackets.append(
-                    Bracket(name, column, low, min(low + 1, n - 1), position - low, n))
-    found = {r["target"]: r["value"] for r in _pick_ranks(df, narrow(df, brackets, limit)).collect()}
-    values = [F.lit(found.get(n)).cast("double").alias(n) for n in wanted]
-    if not also:
-        return df.sparkSession.range(1).select(*values)
-    return df.agg(*[a.alias(n) for n, a in also.items()]).select(*values, *also)
+                brackets.append(Bracket(name, by_column[k][0], low, min(low + 1, n - 1), position - low, n,
+                                        trial=(cuts[2 * j], cuts[2 * j + 1])))
+    found = {r["target"]: r["value"] for r in _pick_ranks(df, narrow(df, brackets, limit)).collect()} if brackets else {}
+    one = df.sparkSession.createDataFrame([first], scan.schema) if also else df.sparkSession.range(1)
+    return one.select(*[F.lit(found.get(n)).cast("double").alias(n) for n in wanted], *also)
 
 
 def narrow(df: DataFrame, brackets: list[Bracket], limit: int = LIMIT) -> list[Bracket]:
-    """Shrink each bracket until it holds at most ``limit`` distinct values."""
-    width = 2.0 / ACCURACY
+    """Shrink each bracket until it is checked and holds at most ``limit`` distinct values."""
+    width, halve, limit = 2.0 / ACCURACY, False, max(limit, 2)  # a rank and its neighbour are two values
     for _ in range(MAX_ROUNDS):
-        todo = [b for b in brackets if b.inside > limit
-                and (b.distinct is None or b.distinct > limit)]
+        todo = [b for b in brackets if b.distinct is None or b.distinct > limit]
         if not todo:
-            break
+            return brackets
+        if halve:
+            for b in [b for b in todo if b.low is not None]:
+                b.trial = (b.low, b.low + (b.high - b.low) / 2)
         # brackets that still cover the same interval share one sketch
         shared: dict[tuple, list[Bracket]] = {}
-        for b in todo:
+        for b in [b for b in todo if b.trial is None]:
             shared.setdefault((str(b.column), b.low, b.high), []).append(b)
         groups = list(shared.values())
-        sketches = df.agg(*[
-            F.percentile_approx(
-                F.when(g[0].holds(), g[0].column),
-                F.array(*[F.lit(p) for b in g for p in _around(b, width)]), F.lit(ACCURACY),
-            ).alias(f"g{i}") for i, g in enumerate(groups)
-        ]).first()
-        todo, trial = [b for g in groups for b in g], [
-            Bracket(b.name, b.column, b.low_rank, b.high_rank, b.fraction, b.inside,
-                    low=sketches[i][2 * j], high=sketches[i][2 * j + 1])
-            for i, g in enumerate(groups) for j, b in enumerate(g)
-        ]
+        if groups:
+            sketches = df.agg(*[
+                F.percentile_approx(
+                    F.when(g[0].holds(), g[0].column),
+                    F.array(*[F.lit(p) for b in g for p in _around(b, width)]), F.lit(ACCURACY),
+                ).alias(f"g{i}") for i, g in enumerate(groups)
+            ]).first()
+            for i, g in enumerate(groups):
+                for j, b in enumerate(g):
+                    b.trial = (sketches[i][2 * j], sketches[i][2 * j + 1])
+        trial = [Bracket(b.name, b.column, 0, 0, 0.0, 0, low=b.trial[0], high=b.trial[1]) for b in todo]
         seen = df.agg(*[
             F.struct(
-                F.count_if(t.column < F.lit(t.low)).alias("below"),
-                F.count_if(t.holds()).alias("inside"),
+                F.count_if(t.column < F.lit(t.low)).alias("below"), F.count_if(t.holds()).alias("inside"),
+                F.approx_count_distinct(F.when(t.holds(), t.column)).alias("distinct"),
+                F.max(F.when(t.holds(), t.column)).alias("last"),
+                F.min(F.when(t.column > F.lit(t.high), t.column)).alias("next"),
             ).alias(f"b{i}") for i, t in enumerate(trial)
         ]).first()
-        missed = False
+        missed = stuck = False
         for i, (b, t) in enumerate(zip(todo, trial)):
-            s = seen[f"b{i}"]
-            if s["below"] <= b.low_rank and b.high_rank < s["below"] + s["inside"]:
-                b.low, b.high = t.low, t.high
-                b.below, b.inside, b.distinct = s["below"], s["inside"], None
+            s, b.trial = seen[f"b{i}"], None
+            end = s["below"] + s["inside"]
+            if s["below"] <= b.low_rank and b.high_rank < end:
+                stuck |= s["distinct"] > limit and b.distinct is not None and s["inside"] > 0.9 * b.inside
+                b.low, b.high, b.below, b.inside, b.distinct = t.low, t.high, s["below"], s["inside"], s["distinct"]
+            elif halve and b.low_rank == end - 1 and b.high_rank == end:  # the last of one half, the first of the other
+                b.trial = (s["last"], s["next"])
+            elif halve and b.low_rank >= end:
+                b.trial = (s["next"], b.high)
             else:
                 missed = True
         if missed:
             width = min(0.5, width * 8)
-        # many rows may still be few values: those need no further narrowing
-        crowded = [b for b in todo if b.inside > limit]
-        if crowded:
-            kinds = df.agg(*[F.approx_count_distinct(F.when(b.holds(), b.column)).alias(f"d{i}")
-                             for i, b in enumerate(crowded)]).first()
-            for i, b in enumerate(crowded):
-                b.distinct = kinds[i]
-    return brackets
+        halve = stuck
+    raise RuntimeError(f"no interval of at most {limit} values after {MAX_ROUNDS} rounds")
 
 
 def _around(b: Bracket, width: float) -> tuple[float, float]:

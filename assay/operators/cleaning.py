@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from assay.functions.exprs import col, to_number, union, unpivot
 from assay.functions.orderstats import LIMIT, quantile_row
-from assay.operators.profiling import kind_of, parse_date, present, value_counts
+from assay.operators.profiling import date_formats, kind_of, parse_date, present, value_counts
 from assay.session import cut_lineage
 
 SPARSE = 0.80
@@ -109,7 +109,10 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def parse_dates(df: DataFrame, columns: list[str]) -> DataFrame:
-    return _replace(df, {c: parse_date(c) for c in columns})
+    """Text to timestamps, each column by the one format that fits it best (none fits: all NULL)."""
+    found = date_formats(df, columns)
+    return _replace(df, {c: parse_date(c, found[c]) if c in found else F.lit(None).cast("timestamp_ntz")
+                         for c in columns})
 
 
 def boolean_columns(df: DataFrame, columns: list[str]) -> list[str]:
@@ -264,12 +267,14 @@ def outlier_counts(df: DataFrame, fences: dict[str, dict]) -> DataFrame:
 
 # --- the whole pipeline --------------------------------------------------------------------------
 
-def clean(df: DataFrame, prof: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def clean(df: DataFrame, prof: DataFrame, limit: int = LIMIT,
+          case_cardinality: int = CASE_CARDINALITY) -> tuple[DataFrame, DataFrame]:
     """(clean frame, audit): sparse columns, duplicates, strings, case, numbers, dates, yes/no,
     gaps, constants, date parts, outlier flags.
 
     Identifiers are never imputed, dropped as constant or tested for outliers; missing dates are
-    counted, not filled; unusual rows are flagged, not removed.
+    counted, not filled; unusual rows are flagged, not removed. Case is repaired in columns of at
+    most ``case_cardinality`` values: names and free text keep theirs.
     """
     spark, audit = df.sparkSession, []
     meta = {r["column"]: r for r in prof.collect()}
@@ -301,7 +306,7 @@ def clean(df: DataFrame, prof: DataFrame, limit: int = LIMIT) -> tuple[DataFrame
 
     # 4 case
     candidates = [c for c in texts if meta[c]["dtype"] in ("categorical", "text")
-                  and meta[c]["cardinality"] <= CASE_CARDINALITY]
+                  and meta[c]["cardinality"] <= case_cardinality]
     variants = case_variants(frame, candidates)
     for c in variants:
         log(4, c, "case_normalisation")
@@ -335,7 +340,8 @@ def clean(df: DataFrame, prof: DataFrame, limit: int = LIMIT) -> tuple[DataFrame
     if free:
         row = frame.agg(*[F.count_if(col(c).isNull()) for c in free]).first()
         gaps = {c: n for c, n in zip(free, row) if n}
-    number_gaps = [c for c in gaps if isinstance(types[c], T.NumericType)]
+    yes_or_no = {c for c in gaps if meta[c]["dtype"] == "boolean"}  # 0 and 1 by now, filled by their mode
+    number_gaps = [c for c in gaps if isinstance(types[c], T.NumericType) and c not in yes_or_no]
     word_gaps = [c for c in gaps if c not in number_gaps
                  and meta[c]["dtype"] in ("categorical", "boolean", "text")]
     fills: dict[str, Column] = {}
@@ -376,8 +382,8 @@ def clean(df: DataFrame, prof: DataFrame, limit: int = LIMIT) -> tuple[DataFrame
         for r in outlier_counts(frame, fences).collect():
             if r["mild"]:
                 log(11, r["column"], "outlier_flagging", r["mild"])
-                if r["extreme"]:
-                    log(11, r["column"], "extreme_outlier_flagging", r["extreme"])
+            if r["extreme"]:
+                log(11, r["column"], "extreme_outlier_flagging", r["extreme"])
     if measured:
         frame = flag_outliers(frame, measured, limit, fences)
 

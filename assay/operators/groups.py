@@ -14,8 +14,6 @@ from assay.functions.exprs import (
     add_totals, clamped_ratio, col, ratio, sum0, unpivot)
 from assay.functions.orderstats import LIMIT, quantile_row
 
-MAX_GROUPS = 30  # above this many groups a comparison is not meaningful
-
 # Short names of months and weekdays, Monday first.
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 DAY_NAMES = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
@@ -54,11 +52,11 @@ def _grouped(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
 
 
 def group_summary(df: DataFrame, key: str, metric: str, order_by: str = "total",
-                  max_groups: int | None = MAX_GROUPS) -> DataFrame:
+                  max_groups: int | None = None) -> DataFrame:
     """Total, average and count per group, and how far each lies from the mean of the groups.
 
-    ``order_by`` is "total" or "average"; the comparison with the mean uses the same measure.
-    More than ``max_groups`` groups give no rows.
+    ``order_by`` is "total" or "average"; the comparison with the mean uses the same measure. A
+    caller may refuse comparisons of more than ``max_groups`` groups: then no rows come back.
     """
     measure = F.col(order_by)
     out = add_totals(_grouped(df, [key], metric),
@@ -73,10 +71,11 @@ def group_summary(df: DataFrame, key: str, metric: str, order_by: str = "total",
 
 
 def group_compare_two(df: DataFrame, a: str, b: str, metric: str,
-                      max_cells: int | None = 4 * MAX_GROUPS) -> DataFrame:
+                      max_cells: int | None = None) -> DataFrame:
     """Totals over two categories and their distance from the mean cell.
 
-    The limit counts distinct a times distinct b, whether or not each combination occurs.
+    ``max_cells``, if a caller sets it, refuses larger comparisons (no rows); it counts distinct a
+    times distinct b, whether or not each combination occurs.
     """
     grouped = _grouped(df, [a, b], metric).drop("average", "n")
     out = add_totals(grouped, cell_mean=F.avg("total"),
@@ -93,8 +92,12 @@ def group_compare_two(df: DataFrame, a: str, b: str, metric: str,
 
 
 def category_relationship(df: DataFrame, key: str, metric: str,
-                          by: str = "total", max_groups: int = MAX_GROUPS) -> DataFrame:
-    """Leading and trailing group, the gap between them and the gap in percent: one row."""
+                          by: str = "total", max_groups: int | None = None) -> DataFrame:
+    """Leading and trailing group, the gap between them and the gap in percent: one row.
+
+    No row without a group, or with more than ``max_groups`` where a caller sets that.
+    """
+    few = F.lit(True) if max_groups is None else F.col("n_groups") <= max_groups
     measure = F.col(by)
     gap = F.col("top_value") - F.col("bottom_value")
     grouped = _grouped(df, [key], metric).filter(measure.isNotNull())
@@ -103,7 +106,7 @@ def category_relationship(df: DataFrame, key: str, metric: str,
     worst = F.min(F.struct(measure.alias("rank"), col(key).alias("name"), measure.alias("value")))
     return (
         grouped.agg(F.count("*").alias("n_groups"), best.alias("best"), worst.alias("worst"))
-        .filter((F.col("n_groups") > 0) & (F.col("n_groups") <= max_groups))
+        .filter((F.col("n_groups") > 0) & few)
         .select("n_groups",
                 F.col("best.name").alias("top_group"), F.col("best.value").alias("top_value"),
                 F.col("worst.name").alias("bottom_group"),

@@ -23,6 +23,8 @@ from assay.operators.profiling import as_double
 from assay.session import cut_lineage, keep
 
 SEED = 42
+MAX_DEPTH = 30          # as deep as Spark's trees go
+STARTS, ITERATIONS = 10, 300
 MIN_ROWS_REGRESSION = MIN_ROWS_SEGMENTS = 30
 MIN_ROWS_ANOMALY = 50
 MIN_MONTHS = 12
@@ -55,11 +57,11 @@ def _vector(columns: list[str]) -> Column:
 # --- feature importance ------------------------------------------------------------------------------
 
 def feature_importance(df: DataFrame, target: str, features: list[str], trees: int = TREES,
-                       max_depth: int = 8, seed: int = SEED) -> DataFrame:
+                       max_depth: int = MAX_DEPTH, seed: int = SEED) -> DataFrame:
     """Importance of each feature in a random forest for the target, with in-sample R squared.
 
-    Needs 30 complete rows, else no rows come back. ``max_depth`` bounds the work per pass; a
-    forest grown to the last row would not scale with the table.
+    Needs 30 complete rows, else no rows come back. Trees grow to ``max_depth``; ask for less where
+    the work per level matters more than the last leaves.
     """
     schema = "feature string, importance double, importance_pct double, r_squared double, n_rows bigint"
     features = [f for f in features if f != target]
@@ -96,9 +98,12 @@ class Segments:
     model: KMeansModel
 
 
-def fit_segments(df: DataFrame, columns: list[str], *keys: str, seed: int = SEED) -> Segments | None:
+def fit_segments(df: DataFrame, columns: list[str], *keys: str, seed: int = SEED, starts: int = STARTS,
+                 iterations: int = ITERATIONS) -> Segments | None:
     """K-means on standardised columns, k from 2 to 6 by best silhouette; None if not enough data.
 
+    Each k is fitted from ``starts`` beginnings and the fit with the smallest cost stays.
+
     The silhouette is Spark's (squared distances, from cluster sums), linear in the rows.
     """
     columns = covered_columns(df, columns)
@@ -106,15 +111,15 @@ def fit_segments(df: DataFrame, columns: list[str], *keys: str, seed: int = SEED
         return None
     data = _complete(df, columns, *keys).withColumn("raw", _vector(columns))
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    scaled = keep(scaler.fit(data).transform(data).drop("raw"))
+    scaled = cut_lineage(scaler.fit(data).transform(data).drop("raw"))
     n = scaled.count()
     if n < MIN_ROWS_SEGMENTS:
-        scaled.unpersist()
         return None
     judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
     best = None
     for k in range(2, min(MAX_SEGMENTS, n // 5) + 1):
-        model = KMeans(k=k, seed=seed, maxIter=20).fit(scaled)
+        fits = [KMeans(k=k, seed=seed + i, maxIter=iterations).fit(scaled) for i in range(starts)]
+        model = min(fits, key=lambda fit: fit.summary.trainingCost)
         if model.summary.k < 2 or sum(s > 0 for s in model.summary.clusterSizes) < 2:
             continue
         score = judge.evaluate(model.transform(scaled))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assay.functions.exprs import TINY, col, ratio
 from assay.functions.orderstats import LIMIT, quantile_row
 
-# Vague word -> percentile; the last three mean "beyond the upper fence".
+# Vague word -> percentile; FENCE_WORDS mean "beyond the upper fence", LOW_WORDS look below.
 WORD_PERCENTILES: dict[str, float] = {
     "high": 0.75, "highest": 0.75, "large": 0.75,
     "low": 0.25, "lowest": 0.25, "small": 0.25,
@@ -125,7 +125,7 @@ def year_total(df: DataFrame, ts: str, metric: str, year: int) -> DataFrame:
     inside = (col(ts) >= start) & (col(ts) < end)
     return df.filter(inside).agg(
         F.lit(year).alias("year"),
-        F.coalesce(F.sum(metric), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(col(metric)), F.lit(0.0)).alias("total"),
         F.count("*").alias("n_rows"),
     )
 

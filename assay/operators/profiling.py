@@ -36,17 +36,30 @@ TARGET_NAMES = r"(?i)(revenue|profit|sales|income|amount|total)"
 ALIAS_DROPPED = r"[$£€%#@!?()\[\]{}]"
 ALIAS_SEPARATORS = r"[\s\-./\\]+"
 
-# Accepted date shapes.
-DATE_SHAPE = r"^\s*\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
-DATE_FORMATS = ["yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy"]
+# Accepted date shapes, numeric or with the name of a month.
+DATE_SHAPE = r"^\s*(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|(\d{1,2}[ -])?[A-Za-z]{3,9}[ -]\d{1,4}(, ?\d{4}|[ -]\d{4})?\s*$)"
+DATE_FORMATS = ["iso", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy",
+                "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy"]
 
 
-def parse_date(c: str | Column) -> Column:
-    """Text to timestamp by a fixed list of formats; anything else becomes NULL."""
+def parse_date(c: str | Column, fmt: str) -> Column:
+    """Text to timestamp by one of DATE_FORMATS; anything else becomes NULL."""
     text = F.trim(col(c).cast("string"))
-    tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
-    return F.when(text.rlike(DATE_SHAPE), F.coalesce(*tries))
+    value = (text.try_cast("timestamp_ntz") if fmt == "iso"
+             else F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
+    return F.when(text.rlike(DATE_SHAPE), value)
+
+
+def date_formats(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The one format of each text column: the one that parses most of its values, in one scan.
+
+    A column is written in one format, so 03/04/2024 is 3 April where other rows need the day first.
+    Ties go to the format listed first. A column that no format parses has none.
+    """
+    if not columns:
+        return {}
+    row = df.agg(*[F.array(*[F.count(parse_date(c, f)) for f in DATE_FORMATS]) for c in columns]).first()
+    return {c: DATE_FORMATS[n.index(max(n))] for c, n in zip(columns, row) if max(n)}
 
 
 def kind_of(field: T.StructField) -> str:
@@ -182,7 +195,8 @@ def _votes(f: T.StructField) -> dict[str, Column]:
     return {
         "n_rows": F.count("*"), "n_present": F.count(c),
         "numeric_share": F.coalesce(ratio(F.count(v), F.count(c)), F.lit(0.0)),
-        "date_share": F.coalesce(ratio(F.count(parse_date(c)), F.count(c)), F.lit(0.0)),
+        "date_share": F.coalesce(ratio(
+            F.greatest(*[F.count(parse_date(c, f)) for f in DATE_FORMATS]), F.count(c)), F.lit(0.0)),
         "all_boolean": F.coalesce(F.bool_and(F.lower(text).isin(BOOLEAN_WORDS)), F.lit(False)),
         "mean_length": F.coalesce(F.avg(F.length(text)), F.lit(0.0)),
         "all_whole": F.coalesce(F.bool_and(v == F.floor(v)), F.lit(False)),
@@ -248,17 +262,12 @@ def as_double(df: DataFrame, name: str) -> Column:
     return to_number(name) if kind_of(f) == "text" else present(f).cast("double")
 
 
-def numeric_stats(df: DataFrame, columns: list[str], limit: int = LIMIT,
-                  counts: dict[str, int] | None = None) -> DataFrame:
-    """Mean, median, std, min, max and quartiles of numeric columns with at least two values.
-
-    ``counts`` (present values per column) saves a scan where the caller has them.
-    """
-    return stats_with_rows(df, columns, limit, counts).drop("n_rows")
+def numeric_stats(df: DataFrame, columns: list[str], limit: int = LIMIT) -> DataFrame:
+    """Mean, median, std, min, max and quartiles of numeric columns with at least two values."""
+    return stats_with_rows(df, columns, limit).drop("n_rows")
 
 
-def stats_with_rows(df: DataFrame, columns: list[str], limit: int = LIMIT,
-                    counts: dict[str, int] | None = None) -> DataFrame:
+def stats_with_rows(df: DataFrame, columns: list[str], limit: int = LIMIT) -> DataFrame:
     """``numeric_stats`` with the number of rows of the table, from the same scan."""
     values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     one = quantile_row(values, {
@@ -268,7 +277,7 @@ def stats_with_rows(df: DataFrame, columns: list[str], limit: int = LIMIT,
         f"s{i}": F.struct(F.count(f"c{i}").alias("n"), F.avg(f"c{i}").alias("mean"),
                           F.stddev_samp(f"c{i}").alias("std"), F.min(f"c{i}").alias("min"),
                           F.max(f"c{i}").alias("max")) for i in range(len(columns))
-    } | {"n_rows": F.count("*")}, counts=counts and {f"c{i}": counts[c] for i, c in enumerate(columns)})
+    } | {"n_rows": F.count("*")})
     names = ["column", "n", "mean", "median", "std", "min", "max", "q1", "q3", "n_rows"]
     rows = [(F.lit(c), F.col(f"s{i}.n"), F.col(f"s{i}.mean"), F.col(f"median_{i}"),
              F.col(f"s{i}.std"), F.col(f"s{i}.min"), F.col(f"s{i}.max"),
@@ -373,9 +382,7 @@ def profile(df: DataFrame, approx_distinct: bool = False, limit: int = LIMIT) ->
     numeric = [c for c in df.columns if votes[c]["dtype"] == "numeric" and not binary(c)]
     stats, outliers = {}, {}
     if numeric:
-        bound = {c: votes[c]["n_present"] for c in numeric if votes[c]["numeric_share"] == 1.0}
-        known = bound if len(bound) == len(numeric) else None
-        stats = {r["column"]: r for r in numeric_stats(df, numeric, limit, known).collect()}
+        stats = {r["column"]: r for r in numeric_stats(df, numeric, limit).collect()}
         measured = [c for c in numeric if c in stats]
         counts = []
         for c in measured:
@@ -520,24 +527,28 @@ def top_values(df: DataFrame, column: str, n: int = 20, binary: bool = False) ->
                        (clamped_ratio(F.col("n"), F.col("n_present")) * 100).alias("pct"))
 
 
-def outlier_values(df: DataFrame, column: str, raw: DataFrame | None = None, n: int = 100,
+def outlier_values(df: DataFrame, column: str, raw: DataFrame | None = None, n: int | None = 100,
                    limit: int = LIMIT) -> DataFrame:
-    """Up to n values beyond the fences, smallest first; fences and values come from raw data."""
+    """The n values farthest beyond the fences, in order, and how many there are: (v, n_outliers).
+
+    Fences and values come from raw data. Both tails count: what is kept is farthest from its own
+    fence, so one tail cannot hide the other; ``n=None`` keeps every outlier.
+    """
     source = raw if raw is not None else df
     values = source.select(as_double(source, column).alias("v"))
     q = quantile_row(values, {"q1": ("v", 0.25), "q3": ("v", 0.75)}, limit)
     spread = F.col("q.q3") - F.col("q.q1")
-    outside = ((F.col("v") < F.col("q.q1") - FENCE * spread)
-               | (F.col("v") > F.col("q.q3") + FENCE * spread))
-    return (
-        values.withColumn("q", q.select(F.struct("q1", "q3")).scalar()).filter(outside)
-        .select("v").orderBy("v").limit(n)
-    )
+    beyond = F.greatest(F.col("q.q1") - FENCE * spread - F.col("v"), F.col("v") - F.col("q.q3") - FENCE * spread)
+    far = values.withColumn("q", q.select(F.struct("q1", "q3")).scalar()).withColumn(
+        "beyond", beyond).filter("beyond > 0")
+    kept = far if n is None else far.orderBy(F.desc("beyond"), "v").limit(n)
+    return kept.select("v", far.agg(F.count("*")).scalar().alias("n_outliers")).orderBy("v")
 
 
 def column_detail(df: DataFrame, column: str, raw: DataFrame | None = None,
                   limit: int = LIMIT) -> DataFrame:
-    """(section, position, label, value) of a numeric column: statistics, histogram, outliers."""
+    """(section, position, label, value) of a numeric column: statistics, gaps and cardinality,
+    histogram, and the outliers with their full count."""
     stats = numeric_stats(df, [column], limit)
     names = ["n", "mean", "median", "std", "min", "max", "q1", "q3"]
     stat_rows = unpivot(stats, [(F.lit("stat"), F.lit(i), F.lit(n), F.col(n).cast("double"))
@@ -548,10 +559,19 @@ def column_detail(df: DataFrame, column: str, raw: DataFrame | None = None,
         F.concat(F.format_number("low", 2), F.lit(" - "), F.format_number("high", 2)).alias("label"),
         F.col("n").cast("double").alias("value"))
     w = Window.partitionBy(F.lit(1)).orderBy("v")  # at most 100 rows
-    outliers = outlier_values(df, column, raw, limit=limit).select(
+    found = outlier_values(df, column, raw, limit=limit)
+    outliers = found.select(
         F.lit("outlier").alias("section"), (F.row_number().over(w) - 1).alias("position"),
         F.lit("value").alias("label"), F.col("v").alias("value"))
-    return union([stat_rows, bins, outliers])
+    gaps = df.agg(F.count("*").alias("n_rows"), F.count(col(column)).alias("n"), F.count_distinct(col(column)).alias("d"))
+    gap_rows = unpivot(gaps, [
+        (F.lit("presence"), F.lit(0), F.lit("null_count"), (F.col("n_rows") - F.col("n")).cast("double")),
+        (F.lit("presence"), F.lit(1), F.lit("null_rate"), ratio(F.col("n_rows") - F.col("n"), F.col("n_rows"))),
+        (F.lit("presence"), F.lit(2), F.lit("cardinality"), F.col("d").cast("double")),
+    ], ["section", "position", "label", "value"])
+    total = found.agg(F.coalesce(F.max("n_outliers"), F.lit(0)).cast("double").alias("value")).select(
+        F.lit("outlier").alias("section"), F.lit(-1).alias("position"), F.lit("count").alias("label"), "value")
+    return union([stat_rows, gap_rows, bins, total, outliers])
 
 
 def compare_versions(raw: DataFrame, clean: DataFrame, column: str,

@@ -13,7 +13,6 @@ from assay.functions.exprs import (
 from assay.functions.orderstats import (
     ACCURACY, LIMIT, MAX_ROUNDS, Bracket, narrow, per_target, values_inside)
 from assay.functions.pvalues import p_value
-from assay.operators.groups import MAX_GROUPS
 from assay.operators.profiling import as_double, stats_with_rows
 
 MIN_CORRELATION = 0.30
@@ -82,10 +81,22 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def scatter(df: DataFrame, a: str, b: str, n: int = 200) -> DataFrame:
-    """The n smallest complete pairs of two columns: the points of a scatter chart."""
-    pairs = df.select(as_double(df, a).alias("x"), as_double(df, b).alias("y"))
-    return pairs.filter("x IS NOT NULL AND y IS NOT NULL").orderBy("x", "y").limit(n)
+def scatter(df: DataFrame, a: str, b: str, bins: int = 15) -> DataFrame:
+    """(x, y, n): all complete pairs of two columns on a grid of ``bins`` by ``bins`` cells.
+
+    x and y are the middles of the cells that hold pairs, n how many: a picture of every row whose
+    size does not depend on the table. A constant column is one cell wide.
+    """
+    pairs = df.select(as_double(df, a).alias("x"), as_double(df, b).alias("y")).filter(
+        "x IS NOT NULL AND y IS NOT NULL")
+    ends = pairs.agg(*[f(c).alias(f"{c}_{name}") for c in "xy" for name, f in (("low", F.min), ("high", F.max))])
+    rows = pairs.withColumn("ends", ends.select(F.struct(*ends.columns)).scalar())
+    middle = {}
+    for c in "xy":
+        low, width = F.col(f"ends.{c}_low"), F.col(f"ends.{c}_high") - F.col(f"ends.{c}_low")
+        cell = F.when(width > 0, F.least(F.floor((F.col(c) - low) / width * bins), F.lit(bins - 1))).otherwise(0)
+        middle[c] = low + F.when(width > 0, (cell + 0.5) * width / bins).otherwise(0.0)
+    return rows.groupBy(middle["x"].alias("x"), middle["y"].alias("y")).agg(F.count("*").alias("n")).orderBy("x", "y")
 
 
 def shape_stats(df: DataFrame, columns: list[str], min_skew: float = MIN_SKEW) -> DataFrame:
@@ -106,12 +117,14 @@ def shape_stats(df: DataFrame, columns: list[str], min_skew: float = MIN_SKEW) -
 
 
 def factor_influence(df: DataFrame, target: str, numeric: list[str],
-                     categorical: list[str], max_groups: int = MAX_GROUPS) -> DataFrame:
+                     categorical: list[str], max_groups: int | None = None) -> DataFrame:
     """What moves the target: |r| of numeric columns, spread of group means of categories.
 
     A category's impact is (highest - lowest group mean) / std of the target, at most 1. All
-    correlations come from one aggregate; all categories are grouped in one pass.
+    correlations come from one aggregate; all categories are grouped in one pass. ``max_groups``
+    leaves out categories of more values, where a caller sets it.
     """
+    few = F.lit(True) if max_groups is None else F.col("n_values") <= max_groups
     y = as_double(df, target)
     numeric = [c for c in numeric if c != target]
     frames = []
@@ -148,7 +161,7 @@ def factor_influence(df: DataFrame, target: str, numeric: list[str],
             spread.alias("spread"), best.alias("best"), worst.alias("worst"),
             F.count("m").alias("n_groups"), F.count("*").alias("n_values"))
         frames.append(
-            grouped.filter((F.col("n_groups") >= 2) & (F.col("n_values") <= max_groups)).select(
+            grouped.filter((F.col("n_groups") >= 2) & few).select(
                 "feature", F.lit("categorical").alias("type"),
                 F.least(F.lit(1.0), F.col("spread") / std).alias("impact"),
                 F.lit(None).cast("double").alias("r"), F.lit(None).cast("double").alias("p_value"),
@@ -184,7 +197,10 @@ _PARETO_SCHEMA = ("column string, n bigint, total double, top_20_pct double, n_f
 
 
 def cumulative_share(df: DataFrame, column: str, limit: int = LIMIT) -> DataFrame:
-    """(pct_rows, pct_value): how the total accumulates from the largest value down, ~20 points."""
+    """(pct_rows, pct_value): how the total accumulates from the largest value down.
+
+    A point at every twentieth of the rows (each row below 40 rows), from the first to the last.
+    """
     facts, points = _concentration(df, column, limit, curve=True)
     if points is None:
         return df.sparkSession.createDataFrame([], "pct_rows double, pct_value double")
@@ -206,7 +222,7 @@ def _concentration(df: DataFrame, column: str, limit: int, curve: bool):
     if n < 20 or facts["low"] < 0 or total <= 0:
         return facts, None
     step = max(1, n // 20)
-    ranks = [r + 1 for r in range(0, n, step)][:25] if curve else [max(1, int(n * TOP_SHARE))]
+    ranks = sorted({*range(1, n + 1, step), n}) if curve else [max(1, int(n * TOP_SHARE))]
     facts["ranks"] = ranks
     v = F.col("v")
 

@@ -1,24 +1,27 @@
 """The autonomous run: profile, clean, analyse, model, rank.
 
 Each analysis is one fused pass over the clean frame for all its columns. What comes back to be
-assembled into findings is the summary of each analysis (a row per column, at most thirty groups,
-ten bins, two hundred points, one row per month), never data rows.
+assembled into findings is the summary of each analysis (a row per column, a row per group,
+ten bins, the cells of a grid, one row per month), never data rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.exprs import unpivot
 from assay.functions.orderstats import LIMIT
-from assay.operators import cleaning, groups, insights, models, profiling, ranking, stats, timeseries
-from assay.session import keep
+from assay.operators import cleaning, insights, models, profiling, ranking, stats, timeseries
+from assay.session import cut_lineage, keep
 
 MIN_ROWS_CORRELATION = 10
-MAX_CATEGORIES, MAX_METRICS, MAX_PARETO = 3, 2, 3
+
+#: categories of more values are named as skipped; a finding's chart holds a point for each group
+MAX_GROUPS = 1000
 
 # Parts of column names that are never summed up in a concentration analysis.
 NOT_ADDITIVE = ("id", "index", "rank", "year", "month", "day", "code", "num", "no")
@@ -71,13 +74,13 @@ def statistical_findings(df: DataFrame, meta: dict, n_rows: int, limit: int = LI
     if len(numeric) >= 2 and n_rows >= MIN_ROWS_CORRELATION:
         _correlations(df, numeric, out)
     if words and numeric:
-        _groups(df, words[:MAX_CATEGORIES], numeric[:MAX_METRICS], out)
-    if dates:
-        for metric in numeric[:MAX_METRICS]:
-            _trend(df, dates[0], metric, out)
+        _groups(df, words, numeric, out)
+    for ts in dates:
+        for metric in numeric:
+            _trend(df, ts, metric, out)
     _missing(df, out)
     additive = [c for c in numeric if not any(p in c.lower() for p in NOT_ADDITIVE)]
-    for c in additive[:MAX_PARETO]:
+    for c in additive:
         _pareto(df, c, out, limit)
     return out.rows
 
@@ -101,17 +104,20 @@ def _distributions(df: DataFrame, numeric: list[str], out: _Findings, limit: int
 
 
 def _correlations(df: DataFrame, numeric: list[str], out: _Findings) -> None:
-    for r in stats.correlation_pairs(df, numeric).collect():
-        points = [(p["x"], p["y"]) for p in stats.scatter(df, r["a"], r["b"]).collect()]
+    for r in stats.correlation_pairs(df, numeric, top=None).collect():
+        points = [(p["x"], p["y"]) for p in stats.scatter(df, r["a"], r["b"]).collect()]  # grid cells
         out.add("correlation", "statistics", "correlation", [r["a"], r["b"]],
-                {"correlation": r["r"]}, abs(r["r"]), out.n_rows / 100, None, len(points), points,
+                {"correlation": r["r"]}, abs(r["r"]), out.n_rows / 100, None, r["n"], points,
                 {"strength": r["strength"], "direction": r["direction"]})
 
 
 def _groups(df: DataFrame, words: list[str], numeric: list[str], out: _Findings) -> None:
-    """All category x measure summaries in one pass; the first pair also gives the top five."""
+    """All category x measure summaries in one pass, and the top five of each."""
     sizes = df.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in words]).first()
-    usable = [c for c, n in zip(words, sizes) if 0 < n <= groups.MAX_GROUPS]
+    usable = [c for c, n in zip(words, sizes) if 0 < n <= MAX_GROUPS]
+    for c, n in zip(words, sizes):
+        if n > MAX_GROUPS:  # named here, and answered by group_summary without a bound
+            out.add("groups_skipped", "statistics", "missing_data", [c], {"n_groups": n}, 0.0, 1.0, None, out.n_rows)
     if not usable:
         return
     cells = unpivot(df, [(F.lit(c), F.lit(m), F.col(f"`{c}`").cast("string"),
@@ -120,7 +126,7 @@ def _groups(df: DataFrame, words: list[str], numeric: list[str], out: _Findings)
     totals = (
         cells.filter("grp IS NOT NULL").groupBy("category", "measure", "grp")
         .agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("total"), F.avg("x").alias("average"))
-        .orderBy("category", "measure", F.col("total").desc(), "grp").collect()  # <= 6 x 30 rows
+        .orderBy("category", "measure", F.col("total").desc(), "grp").collect()  # at most MAX_GROUPS rows a pair
     )
     for c in usable:
         for m in numeric:
@@ -132,10 +138,9 @@ def _groups(df: DataFrame, words: list[str], numeric: list[str], out: _Findings)
                     {"top_total": rows[0]["total"], "group_mean": mean, "pct_above_mean": above},
                     abs(above) / 100, max(0.4, 1 - out.null_rate(m)), out.warning(m, out.n_rows),
                     out.n_rows, chart, {"leader": rows[0]["grp"]})
-            if c == words[0] and m == numeric[0]:
-                out.add("top", "statistics", "ranking", [c, m], {"top_total": rows[0]["total"]},
-                        0.7, max(0.4, 1 - out.null_rate(m)), None, out.n_rows,
-                        chart[:ranking.TOP_N], {"leader": rows[0]["grp"]})
+            out.add("top", "statistics", "ranking", [c, m], {"top_total": rows[0]["total"]},
+                    0.7, max(0.4, 1 - out.null_rate(m)), None, out.n_rows,
+                    chart[:ranking.TOP_N], {"leader": rows[0]["grp"]})
 
 
 def _trend(df: DataFrame, ts: str, metric: str, out: _Findings) -> None:
@@ -208,16 +213,16 @@ def model_findings(df: DataFrame, meta: dict, gates: dict[str, str], target: str
                     [(f"{b['low']:.4f} - {b['high']:.4f}", b["n"]) for b in bins],
                     {"model": "isolation forest", "stands_out_on": stand["column"]})
     dates = [c for c, m in meta.items() if c in df.columns and m["dtype"] == "datetime"]
-    if gates["forecast"] == "run" and dates and numeric:
-        series = keep(models.forecast(df, dates[0], numeric[0]))
+    for ts, metric in product(dates, numeric) if gates["forecast"] == "run" else ():
+        series = keep(models.forecast(df, ts, metric))
         rows = series.orderBy("period").collect()
         if rows:
             change = timeseries.forecast_change(series).first()
             months = sum(r["type"] == "historical" for r in rows)
-            out.add("forecast", "models", "trend", [dates[0], numeric[0]],
+            out.add("forecast", "models", "trend", [ts, metric],
                     {"next_forecast": change["next_forecast"], "change_pct": change["change_pct"]},
                     change["change_pct"] / 50 + 0.4,
-                    max(0.4, 1 - out.null_rate(numeric[0]) - (0.1 if months < 24 else 0.0)), "low",
+                    max(0.4, 1 - out.null_rate(metric) - (0.1 if months < 24 else 0.0)), "low",
                     len(rows), [(r["period"], r["value"], r["type"]) for r in rows],
                     {"model": "exponential smoothing", "direction": change["direction"]})
         series.unpersist()
@@ -233,7 +238,7 @@ def analyse(df: DataFrame, target: str | None = None, limit: int = LIMIT) -> Ana
     prof = profiling.profile(df, limit=limit)
     meta = {r["column"]: r for r in prof.collect()}
     clean, audit = cleaning.clean(df, prof, limit)
-    clean = keep(clean)
+    clean = cut_lineage(clean)
     n_rows = clean.count()
     found = profiling.target_column(prof).first()
     target = target or (found["column"] if found else None)

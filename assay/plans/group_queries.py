@@ -76,6 +76,14 @@ QUERIES = {
         sales(s, d, "brand", "revenue"), "brand", "revenue", "count"),
     "top_groups_by_std": lambda s, d: rounded(
         r.top_groups(sales(s, d, "brand", "revenue"), "brand", "revenue", "std"), 3),
+    "group_summary_many": lambda s, d: rounded(g.group_summary(
+        sales(s, d, "nation", "brand", "revenue").withColumn("kind", F.concat_ws(" / ", "nation", "brand")),
+        "kind", "revenue"), 2),
+    "group_compare_many": lambda s, d: rounded(g.group_compare_two(
+        sales(s, d, "nation", "brand", "revenue"), "nation", "brand", "revenue"), 2),
+    "category_relationship_many": lambda s, d: rounded(g.category_relationship(
+        sales(s, d, "nation", "brand", "revenue").withColumn("kind", F.concat_ws(" / ", "nation", "brand")),
+        "kind", "revenue"), 2),
     "top_combinations": lambda s, d: rounded(
         r.top_combinations(sales(s, d, "ptype", "segment", "revenue"),
                            "ptype", "segment", "revenue"), 2),
@@ -130,7 +138,22 @@ def _grouped(key: str, metric: str) -> str:
     return SALES_WITH + _GROUPED.format(k=key, m=metric)
 
 
+_MANY = SALES_WITH + """grouped AS (SELECT nation || ' / ' || brand AS kind, nation, brand, sum(revenue) AS total,
+    avg(revenue) AS average, CAST(count(revenue) AS BIGINT) AS n FROM sales GROUP BY nation, brand)"""
+
 ORACLE = {
+    "group_summary_many": _MANY + """
+        SELECT kind, round(total, 2) AS total, round(average, 2) AS average, n,
+               round(avg(total) OVER (), 2) AS group_mean, CAST(count(*) OVER () AS BIGINT) AS n_groups,
+               round((total / avg(total) OVER () - 1) * 100, 2) AS pct_vs_mean FROM grouped""",
+    "group_compare_many": _MANY + """
+        SELECT nation, brand, round(total, 2) AS total, round(avg(total) OVER (), 2) AS cell_mean, kind AS label,
+               round((total / avg(total) OVER () - 1) * 100, 2) AS pct_vs_mean FROM grouped""",
+    "category_relationship_many": _MANY + """
+        SELECT CAST(count(*) AS BIGINT) AS n_groups, arg_max(kind, total) AS top_group,
+            round(max(total), 2) AS top_value, arg_min(kind, total) AS bottom_group,
+            round(min(total), 2) AS bottom_value, round(max(total) - min(total), 2) AS gap,
+            round(abs((max(total) - min(total)) / min(total)) * 100, 2) AS gap_pct FROM grouped""",
     "group_summary": _grouped("region", "revenue") + """
         SELECT region, round(total, 2) AS total, round(average, 2) AS average, n,
                round(avg(total) OVER (), 2) AS group_mean, CAST(count(*) OVER () AS BIGINT) AS n_groups,

@@ -9,7 +9,7 @@ from assay.operators import stats as st
 from assay.operators import timeseries as t
 from assay.plans.group_queries import SALES_SQL, SALES_WITH
 from assay.plans.helpers import once, rounded
-from assay.session import keep
+from assay.session import cut_lineage
 from assay.sources.tables import DIRTY_COLUMNS, dirty_sales, sales, table
 
 DIRTY_SQL = (
@@ -32,7 +32,10 @@ def _gappy_orders(spark, sf_dir):
 
 @once
 def _dirty_profile(spark, sf_dir):
-    return p.profile(keep(dirty_sales(spark, sf_dir)))
+    return p.profile(cut_lineage(dirty_sales(spark, sf_dir)))
+
+
+NARROW = 300    # distinct values that one task may order: far fewer than these tables have
 
 
 QUERIES = {
@@ -64,7 +67,7 @@ QUERIES = {
     "overview": lambda s, d: rounded(p.overview(_dirty_profile(s, d))),
     "summary_card": lambda s, d: rounded(
         p.summary(_gappy_orders(s, d), p.profile(_gappy_orders(s, d)))),
-    "target_column": lambda s, d: p.target_column(p.profile(keep(sales(s, d, *MEASURES, "region")))),
+    "target_column": lambda s, d: p.target_column(p.profile(cut_lineage(sales(s, d, *MEASURES, "region")))),
     "describe": lambda s, d: rounded(st.describe(
         dirty_sales(s, d, "revenue", "quantity"), ["revenue", "quantity"]), 4, confidence=6, **QUANTILES),
     "correlation_pairs": lambda s, d: rounded(st.correlation_pairs(
@@ -77,6 +80,11 @@ QUERIES = {
     "shape_stats": lambda s, d: rounded(st.shape_stats(
         table(s, d, "events"), ["value", "user_id"], min_skew=0.0), 5),
     "pareto": lambda s, d: rounded(st.pareto(table(s, d, "events"), "value"), 4),
+    "pareto_narrowed": lambda s, d: rounded(st.pareto(table(s, d, "events"), "value", limit=NARROW), 4),
+    "cumulative_share_narrowed": lambda s, d: rounded(
+        st.cumulative_share(table(s, d, "events"), "value", limit=NARROW), 4),
+    "numeric_stats_narrowed": lambda s, d: rounded(p.numeric_stats(
+        sales(s, d, *MEASURES), MEASURES, NARROW), 4, **QUANTILES),
     "cumulative_share": lambda s, d: rounded(st.cumulative_share(table(s, d, "events"), "value"), 4),
     "factor_influence": lambda s, d: rounded(st.factor_influence(
         sales(s, d, "revenue", "quantity", "discount", "tax", "region", "segment", "brand"),
@@ -172,21 +180,29 @@ _BINS = """SELECT CAST(b AS INTEGER) AS bin, round(lo + b * (hi - lo) / 10, 4) A
     FROM (SELECT min(value) AS lo, max(value) AS hi FROM events), range(10) t(b)"""
 _EVENT_Q = """(SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)"""
 
+# the hundred values of events farthest beyond the fences, and how many there are
+_FAR = f"""(SELECT value, n FROM (SELECT value, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY greatest(a - 1.5 * (b - a) - value, value - b - 1.5 * (b - a)) DESC, value) AS rank
+    FROM events, {_EVENT_Q} WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) WHERE rank <= 100)"""
+
+
 def _detail(source: str) -> str:
     """Column detail of events.value; fences and outliers always come from the whole table."""
     return f"""WITH low_events AS (SELECT * FROM events WHERE value < 200),
         s AS (SELECT [count(value)::DOUBLE, avg(value), median(value), stddev_samp(value), min(value),
             max(value), quantile_cont(value, 0.25), quantile_cont(value, 0.75)] AS v FROM {source}),
         bins AS ({_BINS.replace("FROM events", "FROM " + source)}),
-        outliers AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k FROM events, {_EVENT_Q}
-            WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))
+        outliers AS (SELECT value, n, row_number() OVER (ORDER BY value) - 1 AS k FROM {_FAR})
         SELECT 'stat' AS section, CAST(i AS INTEGER) AS position,
             ['n', 'mean', 'median', 'std', 'min', 'max', 'q1', 'q3'][i + 1] AS label,
             round(v[i + 1], 4) AS value FROM s, range(8) t(i)
+        UNION ALL SELECT 'presence', 0, 'null_count', count(*) - count(value)::DOUBLE FROM {source}
+        UNION ALL SELECT 'presence', 1, 'null_rate', round(1 - count(value) / count(*), 4) FROM {source}
+        UNION ALL SELECT 'presence', 2, 'cardinality', count(DISTINCT value)::DOUBLE FROM {source}
+        UNION ALL SELECT 'outlier', -1, 'count', coalesce(max(n), 0)::DOUBLE FROM outliers
         UNION ALL SELECT 'histogram', bin, format('{{:,.2f}}', low) || ' - ' || format('{{:,.2f}}', high),
             n::DOUBLE FROM bins
-        UNION ALL SELECT 'outlier', CAST(k AS INTEGER), 'value', round(value, 4) FROM outliers
-            WHERE k < 100"""
+        UNION ALL SELECT 'outlier', CAST(k AS INTEGER), 'value', round(value, 4) FROM outliers"""
 
 
 ORACLE = {
@@ -236,8 +252,7 @@ ORACLE = {
     "binary_values": """SELECT CASE quality WHEN 1 THEN 'Yes' ELSE 'No' END AS value,
         CAST(count(*) AS BIGINT) AS n, round(count(*) / (SELECT count(quality) FROM labels) * 100, 6) AS pct
         FROM labels GROUP BY quality""",
-    "outlier_values": f"""SELECT round(value, 4) AS v FROM events, {_EVENT_Q}
-        WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) ORDER BY value LIMIT 100""",
+    "outlier_values": f"""SELECT round(value, 4) AS v, CAST(n AS BIGINT) AS n_outliers FROM {_FAR}""",
     "column_detail": _detail("events"),
     "compare_versions": f"""SELECT *, 'raw' AS version FROM ({_detail("events")})
         UNION ALL SELECT *, 'clean' FROM ({_detail("low_events")})""",
@@ -314,7 +329,7 @@ ORACLE = {
             sum(value) OVER (ORDER BY value DESC ROWS UNBOUNDED PRECEDING) AS c FROM events),
         t AS (SELECT count(*) AS n, sum(value) AS total FROM events)
         SELECT round(k * 100.0::DOUBLE / n, 4) AS pct_rows, round(c / total * 100, 4) AS pct_value
-        FROM r, t WHERE (k - 1) % greatest(1, n // 20) = 0 ORDER BY k LIMIT 25""",
+        FROM r, t WHERE (k - 1) % greatest(1, n // 20) = 0 OR k = n ORDER BY k""",
     "factor_influence": SALES_WITH + "num AS (" + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, corr({c}, revenue) AS r FROM sales"
         for c in ("quantity", "discount", "tax")) + "), means AS (" + " UNION ALL ".join(
@@ -348,3 +363,4 @@ ORACLE = {
             '%Y-%m'), round(regr_slope(value, x) * (count(*) + h - 1) + regr_intercept(value, x), 2),
             'forecast' FROM numbered, range(1, 4) t(h) GROUP BY h""",
 }
+ORACLE |= {f"{name}_narrowed": ORACLE[name] for name in ("pareto", "cumulative_share", "numeric_stats")}

@@ -41,6 +41,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder; what is written there goes when the application ends."""
+    path = f"{checkpoint_folder(spark)}/assay-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the checkpoint folder, and read back from there.
 
@@ -48,9 +56,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columnar: later passes read only the columns they name. It is deleted when the application ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/assay-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,12 +65,3 @@ def keep(df: DataFrame) -> DataFrame:
     """Cache a frame that several jobs read; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out to all of them; any other scan unchanged.
-
-    For one-file inputs ahead of CPU-bound work. A large table has more splits than cores and is
-    never shuffled here.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -51,13 +51,38 @@ def test_mode_takes_smallest_of_ties(frame):
 
 
 def test_date_parts(frame):
-    df = frame("d string", [("2024-03-02",), ("2/29/2024",), ("bad",), (None,)])
+    df = frame("d string", [("3/2/2024",), ("2/29/2024",), ("bad",), (None,)])
     out = c.date_parts(c.parse_dates(df, ["d"]), "d").collect()
     assert [r["d__weekday"] for r in out] == ["Saturday", "Thursday", None, None]
     assert [r["d__is_weekend"] for r in out] == [1, 0, 0, 0]
     assert out[0]["d__month_name"] == "March" and out[0]["d__day_of_year"] == 62
 
 
+@pytest.mark.parametrize("texts, days", [
+    (["13/04/2024", "03/04/2024", "25/12/2024"], ["2024-04-13", "2024-04-03", "2024-12-25"]),
+    (["04/13/2024", "03/04/2024"], ["2024-04-13", "2024-03-04"]),
+    (["2024-03-04", "2024-12-25 10:00:00", "junk"], ["2024-03-04", "2024-12-25", None]),
+    (["Jan 5, 2024", "Dec 31, 2023", "May 1, 2020"], ["2024-01-05", "2023-12-31", "2020-05-01"]),
+    (["5 January 2024", "31 December 2023"], ["2024-01-05", "2023-12-31"]),
+    (["none", "at all"], [None, None]),
+])
+def test_a_column_has_one_date_format(frame, texts, days):
+    df = frame("i int, d string", list(enumerate(texts)))
+    out = c.parse_dates(df, ["d"]).orderBy("i").collect()
+    assert [r["d"] and r["d"].strftime("%Y-%m-%d") for r in out] == days
+    dtype = p.infer_types(df).filter("column = 'd'").first()["dtype"]
+    assert dtype == ("datetime" if sum(x is not None for x in days) / len(days) > 0.8 else "categorical")
+
+
+def test_gaps_of_a_yes_no_column_take_its_mode(frame):
+    rows = [(i, "yes" if i % 2 else "no", float(i)) for i in range(33)] + [(i, None, float(i)) for i in range(40, 48)]
+    df = frame("i int, flag string, v double", rows)
+    out, audit = c.clean(df, p.profile(df))
+    assert dict(out.dtypes)["flag"] == "int"
+    assert {r["flag"] for r in out.filter("i >= 40").collect()} == {0}
+    assert audit.filter("column = 'flag' AND operation = 'mode_imputation'").first()["rows_affected"] == 8
+
+
 def test_outlier_severity(frame):
     base = [float(i) for i in range(1, 21)]
     rows = [(i, v, 1.0) for i, v in enumerate(base + [34.0, 200.0])]

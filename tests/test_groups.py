@@ -9,9 +9,12 @@ def grouped(frame, n):
     return frame("k string, v double", [(f"g{i:03d}", float(i)) for i in range(n)])
 
 
-def test_thirty_groups_pass_and_thirty_one_do_not(frame):
-    assert g.group_summary(grouped(frame, 30), "k", "v").count() == 30
-    assert g.group_summary(grouped(frame, 31), "k", "v").count() == 0
+def test_groups_have_no_bound_but_the_callers(frame):
+    assert g.group_summary(grouped(frame, 31), "k", "v").count() == 31
+    assert g.group_summary(grouped(frame, 30), "k", "v", max_groups=30).count() == 30
+    assert g.group_summary(grouped(frame, 31), "k", "v", max_groups=30).count() == 0
+    assert g.category_relationship(grouped(frame, 31), "k", "v").first()["n_groups"] == 31
+    assert g.category_relationship(grouped(frame, 31), "k", "v", max_groups=30).count() == 0
 
 
 def test_missing_keys_are_dropped_and_empty_totals_are_zero(frame):
@@ -53,8 +56,9 @@ def test_zero_denominators(frame):
 
 def test_two_category_limit_counts_possible_cells(frame):
     df = frame("a int, b int, v double", [(i, i, 1.0) for i in range(11)])
-    assert g.group_compare_two(df, "a", "b", "v").count() == 0       # 121 cells
-    assert g.group_compare_two(df.filter("a < 10"), "a", "b", "v").count() == 10
+    assert g.group_compare_two(df, "a", "b", "v").count() == 11
+    assert g.group_compare_two(df, "a", "b", "v", max_cells=120).count() == 0       # 121 cells
+    assert g.group_compare_two(df.filter("a < 10"), "a", "b", "v", max_cells=120).count() == 10
 
 
 def test_filter_ignores_case_and_type(frame):

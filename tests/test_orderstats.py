@@ -81,12 +81,22 @@ def test_curve_equals_sorting(frame, limit):
     ordered = np.sort(values)[::-1]
     rows = cumulative_share(frame("v double", [(float(v),) for v in values]), "v", limit).collect()
     step = len(values) // 20
-    ranks = [i + 1 for i in range(0, len(values), step)][:25]
+    ranks = sorted({*range(1, len(values) + 1, step), len(values)})
     got = sorted((r["pct_rows"], r["pct_value"]) for r in rows)
     want = [(100 * r / len(values), ordered[:r].sum() / ordered.sum() * 100) for r in ranks]
     assert np.allclose(got, want, rtol=1e-9)
 
 
+def test_curve_of_few_rows_ends_at_all_of_them(frame):
+    rows = cumulative_share(frame("v double", [(float(i),) for i in range(1, 40)]), "v").collect()
+    assert len(rows) == 39 and max(rows)[:] == (100.0, 100.0)
+
+
+def test_many_equal_and_far_values_narrow(frame):
+    values = [1e300, -1e300, *[float(i % 7) for i in range(300)], *[1e-9 * i for i in range(400)]]
+    assert np.allclose(quantiles(frame, values, limit=3), np.quantile(values, PROBS))
+
+
 def test_pareto_gates(frame):
     def run(values):
         return pareto(frame("v double", [(float(v),) for v in values]), "v").count()

@@ -120,3 +120,11 @@ def test_compare_versions(frame):
     rows = p.compare_versions(raw, clean, "v").collect()
     assert {r["version"] for r in rows if r["section"] == "outlier"} == {"raw", "clean"}
     assert {r["value"] for r in rows if r["label"] == "max"} == {500.0, 19.0}
+
+
+def test_outliers_of_both_tails_and_their_count(frame):
+    rows = [(float(i % 20 + 100),) for i in range(2000)] + [(float(-i),) for i in range(150)] + [(900.0 + i,) for i in range(5)]
+    out = p.outlier_values(frame("v double", rows), "v").collect()
+    assert len(out) == 100 and {r["n_outliers"] for r in out} == {155}
+    assert sum(r["v"] > 0 for r in out) == 5 and [r["v"] for r in out] == sorted(r["v"] for r in out)
+    assert p.outlier_values(frame("v double", rows), "v", n=None).count() == 155

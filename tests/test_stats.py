@@ -50,8 +50,10 @@ def test_shape_matches_textbook_formula(frame):
 def test_influence_of_a_category(frame):
     df = frame("y double, c string, wide string", [(float(i % 2) * 4 + i / 100, "ab"[i % 2], f"w{i}")
                                                    for i in range(40)])
-    rows = st.factor_influence(df, "y", ["y"], ["c", "wide"]).collect()
-    assert [r["feature"] for r in rows] == ["c"]                       # 40 values are too many
+    both = st.factor_influence(df, "y", ["y"], ["c", "wide"]).collect()
+    assert {r["feature"]: r["n_groups"] for r in both} == {"c": 2, "wide": 40}
+    rows = st.factor_influence(df, "y", ["y"], ["c", "wide"], max_groups=30).collect()
+    assert [r["feature"] for r in rows] == ["c"]
     assert rows[0]["impact"] == 1.0 and (rows[0]["best_group"], rows[0]["worst_group"]) == ("b", "a")
 
 
@@ -89,3 +91,11 @@ def test_spike(frame):
     values[-1] *= 4
     spikes = t.growth_spikes(months(frame, values), "d", "v").collect()
     assert [r["period"] for r in spikes] == ["2024-02"]
+
+
+def test_scatter_counts_every_pair(frame):
+    df = frame("a double, b double", [(float(i), float(i % 5)) for i in range(100)] + [(None, 1.0)])
+    rows = st.scatter(df, "a", "b", bins=10).collect()
+    assert sum(r["n"] for r in rows) == 100 and len(rows) == 50
+    assert min(r["x"] for r in rows) > 0 and max(r["x"] for r in rows) < 99
+    assert [tuple(r) for r in st.scatter(frame("a double, b double", [(2.0, 3.0)] * 4), "a", "b").collect()] == [(2.0, 3.0, 4)]
