@@ -9,19 +9,25 @@ documents never move and a task holds one block.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.texts import named
+from assay.llm.texts import named, text_or_empty
 
 #: tokens of a row, and of a block that is packed at once
 ROW, BLOCK = 2048, 1 << 22
 
+SCHEMA = ("shard string, row long, ids binary, n_tokens long, cu_seqlens array<long>, doc_ids array<long>, "
+          "doc_offsets array<long>, position_resets array<long>")
+
 
 class RoomTree:
     """Which rooms open rows have: a segment tree whose leaf ``r`` counts the rows with room ``r``."""
@@ -82,18 +88,57 @@ def pack(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", row:
     lists) fill no segment. Null ids are kept as null; repeated rows are packed as often as they
     occur; an empty table gives no rows. An id that does not fit ``id_bytes`` is an error.
     """
-    if id_bytes not in (2, 4) or row < 1:
-        raise ValueError("id_bytes must be 2 or 4, and row at least 1")
     rows = encoded.select(named(id_col).cast("long").alias("doc_id"),
                           F.coalesce(named(ids_col), F.array().cast("array<int>")).alias("ids"))
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for doc, s, e in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                yield doc, flat[s:e].copy()
+
+    return rows.mapInArrow(_packer(pairs, row, pad, id_bytes, block), SCHEMA)
+
+
+def pack_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+               row: int = ROW, pad: int = 0, id_bytes: int = 2, block: int = BLOCK) -> DataFrame:
+    """``pack`` over texts, encoded in the task that packs them, so that ids are never moved.
+
+    ``path`` and ``pattern`` name a rank file and its splitting pattern; texts are encoded without
+    special tokens. Null and empty texts fill no segment. Only the two named columns are read.
+    """
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+        encode = _coder(path, pattern).encode_ordinary
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                yield doc.as_py(), np.array(encode(text.as_py()), np.int32)
+
+    return rows.mapInArrow(_packer(pairs, row, pad, id_bytes, block), SCHEMA)
+
+
+@lru_cache(maxsize=2)
+def _coder(path: str, pattern: str) -> tiktoken.Encoding:
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+    return tiktoken.Encoding("rows", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _packer(pairs, row: int, pad: int, id_bytes: int, block: int):
+    """The task: documents with their ids, packed a block at a time."""
+    if id_bytes not in (2, 4) or row < 1:
+        raise ValueError("id_bytes must be 2 or 4, and row at least 1")
     names = ["shard", "row", "ids", "n_tokens", "cu_seqlens", "doc_ids", "doc_offsets", "position_resets"]
+    longs = pa.list_(pa.int64())
+    types = [pa.string(), pa.int64(), pa.binary(), pa.int64(), longs, longs, longs, longs]
 
     def packed(shard: str, docs: list[tuple[int | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         pieces = [(doc, at, ids[at:at + row]) for doc, ids in docs for at in range(0, len(ids), row)]
         order = best_fit(np.array([len(p[2]) for p in pieces], np.int64), row)
-        for low in range(0, len(order), 1024):
+        for low in range(0, len(order), 256):
             out = {n: [] for n in names}
-            for i, members in enumerate(order[low:low + 1024], low):
+            for i, members in enumerate(order[low:low + 256], low):
                 own = [pieces[m] for m in members]
                 ends = np.cumsum([len(p[2]) for p in own])
                 line = np.full(row, pad, np.int64)
@@ -104,26 +149,20 @@ def pack(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", row:
                           [p[0] for p in own], [p[1] for p in own], [0, *ends[:-1].tolist()])
                 for n, v in zip(names, values):
                     out[n].append(v)
-            types = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()),
-                     pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size, done = TaskContext.get().partitionId(), [], 0, 0
-        for batch in batches:
-            lists = batch.column(1)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for doc, s, e in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                held.append((doc, flat[s:e].copy()))
-                size += e - s
-                if size >= block:
-                    yield from packed(f"{part}-{done}", held)
-                    held, size, done = [], 0, done + 1
+        for doc, ids in pairs(batches):
+            held.append((doc, ids))
+            size += len(ids)
+            if size >= block:
+                yield from packed(f"{part}-{done}", held)
+                held, size, done = [], 0, done + 1
         if size:
             yield from packed(f"{part}-{done}", held)
 
-    return rows.mapInArrow(scan, "shard string, row long, ids binary, n_tokens long, cu_seqlens array<long>, "
-                                 "doc_ids array<long>, doc_offsets array<long>, position_resets array<long>")
+    return scan
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from assay.llm.decontamination import leaks
 from assay.llm.exact_dedup import exact_duplicates
 from assay.llm.licenses import license_matches
 from assay.llm.lm import score_texts
-from assay.llm.packing import pack
+from assay.llm.packing import pack_texts
 from assay.llm.pii import KINDS, personal_data, spans_text
 from assay.llm.quality import quality_scores
 from assay.llm.simhash import near_duplicates
@@ -69,8 +69,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, columns=("ids",))
-    return pack(ids)
+    return pack_texts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 QUERIES = {
