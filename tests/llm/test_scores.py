@@ -80,7 +80,16 @@ def test_lm_counts_and_base_against_brute_force(spark):
 
 def public_ids(words):
     speller = public_ids.__dict__.setdefault("speller", lm.Speller(PATH, PATTERN))
-    return speller.text([w for w in words if w is not None])
+    return speller.texts([[w for w in words if w is not None]])[0]
+
+
+def test_words_spelled_together_are_spelled_as_alone():
+    speller = lm.Speller(PATH, PATTERN)
+    texts = ["plain words, and 12-34 more's", "ünï cödé 🙂 中文", "a\xa0b \u3000c d\u3000 e", "", "\x1c \x85 x"]
+    for text in texts:
+        words = text.encode().lower().split()
+        alone = [speller.coder.encode_ordinary(" " + w.decode()) for w in words]
+        assert speller.texts([words])[0].tolist() == [i for ids in alone for i in ids] + [speller.end]
 
 
 def small_model(seed=0):
