@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from assay.llm.texts import named, text_or_empty
 
 #: memory of one task's DuckDB; bytes of words merged in one query; words and chunks kept by a task
-MEMORY, MERGED, KEPT = "300MB", 1 << 19, 200_000
+MEMORY, MERGED, KEPT = "300MB", 1 << 19, 300_000
 #: tokens decoded in one query; bytes from which a word is merged alone, and rounds of such a query
-DECODED, LONG, ROUNDS = 1 << 20, 512, 16
+DECODED, LONG, ROUNDS = 1 << 18, 512, 16
 #: characters of chunks and words that a task keeps
 KEPT_CHARACTERS = 1 << 24
 
@@ -95,6 +95,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+class Spelled:
+    """Token ids of strings, end to end in one array; a string is a number into its starts and sizes."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict = {}
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+
+    def add(self, strings: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New strings, with the ids of all of them one after the other."""
+        first, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * self.used)
+        self.ids[first:self.used] = ids
+        n = len(self.number)
+        if n + len(strings) > len(self.starts):
+            self.starts, self.sizes = (np.resize(x, 2 * (n + len(strings))) for x in (self.starts, self.sizes))
+        self.sizes[n:n + len(strings)] = sizes
+        self.starts[n:n + len(strings)] = first + np.cumsum(sizes) - sizes
+        self.number.update(zip(strings, range(n, n + len(strings))))
+
+    def take(self, lists: list[list]) -> list[np.ndarray]:
+        """For each list of strings the ids of its strings, joined."""
+        if not lists:
+            return []
+        get = self.number.__getitem__
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        number = np.fromiter((get(x) for strings in lists for x in strings), np.int64, counts.sum())
+        sizes = self.sizes[number]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[number] - ends + sizes, sizes)]
+        return np.split(ids, np.r_[0, ends][np.cumsum(counts)[:-1]])
+
+
 class ByteBpe:
     """One task's tokenizer: its DuckDB with merge and piece tables, and the words it has met."""
 
@@ -113,8 +150,7 @@ class ByteBpe:
         self._table("pieces", token=np.array(list(self.ranks.values()), np.int64),
                     piece=[t.decode("latin-1") for t in self.ranks])
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.words: dict[bytes, np.ndarray] = {}
-        self.chunks: dict[str, np.ndarray] = {}
+        self.words, self.chunks = Spelled(), Spelled()
         self.size = 0
 
     def _table(self, name: str, **columns) -> None:
@@ -133,7 +169,9 @@ class ByteBpe:
 
     def _merge(self, words: list[bytes]) -> None:
         """Tokens of new words, by as many recursive queries as their bytes need."""
-        self.words.update((w, self._merge_long(w)) for w in words if len(w) > LONG)
+        for word in [w for w in words if len(w) > LONG]:
+            ids = self._merge_long(word)
+            self.words.add([word], ids, np.array([len(ids)]))
         words, start = [w for w in words if len(w) <= LONG], 0
         while start < len(words):
             end, size = start, 0
@@ -146,21 +184,18 @@ class ByteBpe:
             self._table("bytes", wp=word << 32 | position,
                         token=self.single[np.frombuffer(b"".join(part), np.uint8)])
             rows = self.db.sql(MERGE).to_arrow_table()
-            tokens = rows["token"].to_numpy().astype(np.uint32)
-            ends = np.searchsorted(rows["word"].to_numpy(), np.arange(len(part)), side="right")
-            self.words.update(zip(part, np.split(tokens, ends[:-1])))
+            self.words.add(part, rows["token"].to_numpy(), np.bincount(rows["word"].to_numpy(), minlength=len(part)))
             start = end
 
     def _learn(self, chunks: list[str]) -> None:
         """Tokens of new chunks, each the join of its words' tokens."""
         split = [[w.encode() for w in self.pattern.findall(c)] for c in chunks]
-        new = {w for words in split for w in words if w not in self.words}
-        whole = {w: self.ranks[w] for w in new if w in self.ranks}
-        self.words.update((w, np.array([t], np.uint32)) for w, t in whole.items())
-        self._merge(sorted(new - whole.keys()))
-        for chunk, words in zip(chunks, split):
-            found = [self.words[w] for w in words]
-            self.chunks[chunk] = found[0] if len(found) == 1 else np.concatenate(found or [np.empty(0, np.uint32)])
+        new = {w for words in split for w in words}.difference(self.words.number)
+        whole = [w for w in new if w in self.ranks]
+        self.words.add(whole, np.array([self.ranks[w] for w in whole], np.uint32), np.ones(len(whole), np.int64))
+        self._merge(sorted(new.difference(whole)))
+        ids = self.words.take(split)
+        self.chunks.add(chunks, np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def _chunks_of(self, text: str) -> list[str]:
         """Pieces of a text that the pattern splits alike alone and in place.
@@ -169,27 +204,27 @@ class ByteBpe:
         pattern starts a new word there whatever surrounds it. Other texts stay whole up to such a cut.
         """
         parts = text.split(" ")
-        out, open_ = [parts[0]], not parts[0] or parts[0][-1].isspace()
+        out, start, at = [], 0, len(parts[0])
+        open_ = not parts[0] or parts[0][-1].isspace()
         for part in parts[1:]:
-            if open_ or not part or part[0].isspace():
-                out[-1] += " " + part  # white space beside a space: not a safe place for a cut
-            else:
-                out.append(" " + part)
+            if not open_ and part and not part[0].isspace():
+                out.append(text[start:at])
+                start = at
+            at += 1 + len(part)
             open_ = not part or part[-1].isspace()
-        return out
+        return [*out, text[start:]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         split = [self._chunks_of(t) for t in texts]
-        if len(self.chunks) > KEPT or len(self.words) > KEPT or self.size > KEPT_CHARACTERS:
+        if max(len(self.chunks.number), len(self.words.number)) > KEPT or self.size > KEPT_CHARACTERS:
             self.chunks.clear(), self.words.clear()
             self.size = 0
-        known = self.chunks
-        new = {c for chunks in split for c in chunks if c not in known}
+        new = {c for chunks in split for c in chunks}.difference(self.chunks.number)
         if new:
             self.size += sum(map(len, new))
             self._learn(sorted(new))
-        return [np.concatenate([known[c] for c in chunks]) for chunks in split]
+        return self.chunks.take(split)
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids, in the order of the ids; an unknown id is an error."""

@@ -54,7 +54,7 @@ def test_memory_of_words_is_bounded(library, monkeypatch):
     own, texts = ByteBpe(PATH, PATTERN), strange_texts(100)
     for text in texts:
         assert own.encode([text])[0].tolist() == library.encode_ordinary(text)
-        assert len(own.chunks) <= 10 + len(text) + 1
+        assert len(own.chunks.number) <= 10 + len(text) + 1
 
 
 def test_query_over_the_table(spark, sf_dir, texts, library):
