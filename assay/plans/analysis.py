@@ -176,13 +176,14 @@ def _pareto(df: DataFrame, column: str, out: _Findings, limit: int) -> None:
 
 
 def model_findings(df: DataFrame, meta: dict, gates: dict[str, str], target: str | None,
-                   n_rows: int, limit: int = LIMIT) -> list[tuple]:
+                   n_rows: int, limit: int = LIMIT, starts: int = models.STARTS,
+                   max_depth: int = models.MAX_DEPTH) -> list[tuple]:
     """One finding per model that the gates let run."""
     out = _Findings(meta, n_rows)
     numeric = [c for c, m in meta.items() if c in df.columns and m["dtype"] == "numeric"]
     numeric += [c for c, m in meta.items() if c in df.columns and m["is_binary"]]
     if gates["feature_importance"] == "run" and target in df.columns and len(numeric) >= 2:
-        rows = models.feature_importance(df, target, numeric).collect()
+        rows = models.feature_importance(df, target, numeric, max_depth=max_depth).collect()
         if rows:
             r2 = rows[0]["r_squared"]
             weak = "medium" if r2 < 0.3 or out.null_rate(target) > 0.3 else None
@@ -191,7 +192,7 @@ def model_findings(df: DataFrame, meta: dict, gates: dict[str, str], target: str
                     weak, rows[0]["n_rows"], [(r["feature"], r["importance_pct"]) for r in rows],
                     {"model": "random forest", "top_feature": rows[0]["feature"]})
     if gates["segments"] == "run":
-        found = models.fit_segments(df, numeric)
+        found = models.fit_segments(df, numeric, starts=starts)
         if found:
             sizes = models.segment_profiles(found).collect()
             order = [r["column"] for r in models.segment_differences(found).collect()]
@@ -229,10 +230,12 @@ def model_findings(df: DataFrame, meta: dict, gates: dict[str, str], target: str
     return out.rows
 
 
-def analyse(df: DataFrame, target: str | None = None, limit: int = LIMIT) -> Analysis:
+def analyse(df: DataFrame, target: str | None = None, limit: int = LIMIT, starts: int = models.STARTS,
+            max_depth: int = models.MAX_DEPTH) -> Analysis:
     """Profile and clean a table, run every analysis and model it qualifies for, rank the findings.
 
-    ``target`` overrides the detected outcome column.
+    ``target`` overrides the detected outcome column; ``starts`` and ``max_depth`` are those of the
+    segments and the forest.
     """
     spark = df.sparkSession
     prof = profiling.profile(df, limit=limit)
@@ -245,7 +248,7 @@ def analyse(df: DataFrame, target: str | None = None, limit: int = LIMIT) -> Ana
     gates = models.ml_gates(prof)
     status = {r["model"]: r["status"] for r in gates.collect()}
     rows = statistical_findings(clean, meta, n_rows, limit)
-    rows += model_findings(clean, meta, status, target, n_rows, limit)
+    rows += model_findings(clean, meta, status, target, n_rows, limit, starts, max_depth)
     table = spark.createDataFrame(rows, insights.INSIGHT_SCHEMA)
     return Analysis(prof, clean, audit, gates, table,
                     insights.validate(insights.rank(table), prof))

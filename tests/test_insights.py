@@ -100,7 +100,7 @@ def test_odd_column_names(frame):
             for k in range(120)]
     df = frame("`Lead Studio` string, `unit.price` double, `Rotten Tomatoes %` double,"
                " `order.date` string, `is.new` int", rows)
-    out = analyse(df)
+    out = analyse(df, starts=1, max_depth=5)
     assert out.ranked.count() == 10
     assert {r["insight_id"].split(":")[0] for r in out.insights.collect()} >= {
         "describe", "groups", "trend", "segments", "anomalies", "forecast", "importance"}
