@@ -52,7 +52,7 @@ def run(spark):
                      float(revenue * 0.6 + k % 3), float(k % 5) if k % 3 else None))
     rows[7] = ("2022-08-05", "E", 90000.0, 10.0, 1.0)
     return analyse(spark.createDataFrame(
-        rows, "day string, region string, revenue double, cost double, rating double"))
+        rows, "day string, region string, revenue double, cost double, rating double"), starts=1, max_depth=5)
 
 
 def test_whole_run(run):
