@@ -1,5 +1,6 @@
 """The stages, one by one, against brute force over the rows they were given."""
 
+import random
 import re
 from pathlib import Path
 
@@ -55,6 +56,58 @@ def test_near_stage(kept):
     assert rows(kept[3]) == [r for i, r in enumerate(before) if reach[i] == i]
 
 
+def plain_shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def similar_reach(texts):
+    """{position: smallest position reachable} over all pairs of 5-word Jaccard 0.8 or more."""
+    sets, best = [plain_shingles(t) for t in texts], list(range(len(texts)))
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b)
+             if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while any(best[a] != best[b] for a, b in pairs):
+        for a, b in pairs:
+            best[a] = best[b] = min(best[a], best[b])
+    return best
+
+
+def copies():
+    """A text with up to 9 words changed, long and short, and a large group of near copies of it."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    out = [" ".join(words)]
+    for n in range(1, 10):
+        near = list(words)
+        for at in rng.sample(range(200), n):
+            near[at] = f"new{n}"
+        out.append(" ".join(near))
+    other = [f"v{rng.randrange(5000)}" for _ in range(60)]
+    for n in range(120):  # a chain: neighbours are alike, the ends are not
+        other[n % 60] = f"u{n}"
+        out.append(" ".join(other))
+    hot = "one line that stands in very many texts of the table "
+    return out + [hot * 3 + " ".join(f"x{rng.randrange(9)}" for _ in range(k % 4 + 1)) for k in range(90)] + ["", "a b", "A  b", "c"]
+
+
+@pytest.mark.parametrize("small, stars", [(32, 3), (2, 1), (1, 0)])
+def test_near_stage_against_five_word_jaccard(spark, sf_dir, monkeypatch, small, stars):
+    monkeypatch.setattr("assay.llm.overlap.SMALL", small)
+    monkeypatch.setattr("assay.llm.overlap.STARS", stars)
+    texts = list(dict.fromkeys(copies()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reach = similar_reach(texts)
+    got = {r.doc_id for r in pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    assert got == {i for i in range(len(texts)) if reach[i] == i} and len(got) < len(texts) - 100
+
+
+def test_near_stage_on_documents(spark, sf_dir, documents):
+    before = sorted((r.doc_id, r.text or "") for r in documents.select("doc_id", "text").collect())
+    reach = similar_reach([t for _, t in before])
+    got = {r.doc_id for r in pipeline.near_dedup(spark, documents, sf_dir).collect()}
+    assert got == {d for i, (d, _) in enumerate(before) if reach[i] == i}
+
+
 def test_decontamination_stage(spark, sf_dir, kept):
     found = {r.doc_id for r in leaks(kept[3], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     assert rows(kept[4]) == [r for r in rows(kept[3]) if r[0] not in found]
