@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from assay.llm import lm
-from assay.llm.quality import FEATURES, PASS, features, fit_pairs, quality_scores
+from assay.llm.quality import FEATURES, PASS, features, fit, fit_pairs, quality_scores
 from assay.llm.queries import QUERIES
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -46,6 +46,28 @@ def test_quality_odd_rows(spark, odd, odd_rows, empty):
     assert {r.predicted for r in alone} == {1}  # without a preference nothing is rejected
 
 
+def test_repeated_ids_reach_the_driver_once_whatever_their_order(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    collected, plain = [], DataFrame.toPandas
+
+    def counted(frame):
+        collected.append(plain(frame))
+        return collected[-1]
+
+    monkeypatch.setattr(DataFrame, "toPandas", counted)
+    rows = [(1, "good text number one"), (2, "BAD!!! 9 9 9"), *[(1, f"other text {n} !!") for n in range(300)], (3, "fine words here")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    models = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        models.append(fit(docs, labels, held_out=-1))
+        assert sorted(collected[-1]["id"]) == [1, 2, 3]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].cut == models[1].cut
+    one = spark.createDataFrame([(1, min(t for i, t in rows if i == 1)), *[r for r in rows if r[0] > 1]], "doc_id long, text string")
+    assert np.array_equal(fit(one, labels, held_out=-1).mean, models[0].mean)
+
+
 def test_pairs_learn_an_order():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 5)).astype(np.float32)
