@@ -175,6 +175,14 @@ def test_training_lowers_the_loss():
     assert losses[-1] < losses[0] / 4
 
 
+def test_every_training_text_is_walked_in_each_round(spark):
+    alphabet, flat, _ = small_model(4)
+    for n in range(3):  # alone, a text that is left out would leave the weights as they are
+        texts = spark.createDataFrame([(f"text number {n} of some words".encode(),)], "text binary")
+        for turn in range(lm.ROUNDS):
+            assert not np.array_equal(lm.fit_round(texts, flat, alphabet, PATH, PATTERN, turn), flat)
+
+
 def test_lm_odd_rows(odd, odd_rows, empty):
     found = lm.score_texts(odd, PATH, PATTERN).collect()
     assert len(found) == len(odd_rows) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in found)
