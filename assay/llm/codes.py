@@ -121,11 +121,11 @@ def _whole(batch: pa.RecordBatch, column: str, parts: int) -> np.ndarray:
     return np.floor(flat * SCALE).astype(np.int64).reshape(len(lists), parts, -1)
 
 
-def first_codebooks(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES) -> np.ndarray:
+def first_codebooks(rows: DataFrame, dim: int, parts: int = PARTS, entries: int = ENTRIES) -> np.ndarray:
     """(part, entry, component): the vectors with the smallest ids."""
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(entries).select("vector").collect()
-    x = np.array([r.vector for r in first], np.float64).reshape(len(first), -1)
-    return np.floor(x * SCALE).astype(np.int64).reshape(len(first), parts, -1).swapaxes(0, 1)
+    x = np.array([r.vector for r in first], np.float64).reshape(len(first), parts, dim // parts)
+    return np.floor(x * SCALE).astype(np.int64).swapaxes(0, 1)
 
 
 def moved(rows: DataFrame, books: np.ndarray) -> np.ndarray:
@@ -176,7 +176,7 @@ def vector_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if dim % parts:
         raise ValueError(f"{dim} components cannot be cut into {parts} equal parts")
     rows = rows.where(F.size("vector") == dim)
-    books = first_codebooks(rows, parts, entries)
+    books = first_codebooks(rows, dim, parts, entries)
     for _ in range(rounds if books.size else 0):
         books = moved(rows, books)
     text = ",".join(map(str, books.ravel().tolist()))
