@@ -42,6 +42,8 @@ class Grid:
 
     def _width(self) -> int:
         """A third of the usual distance to a neighbouring entry, spread over the components."""
+        if len(self.entries) < 2:
+            return 1
         e = self.entries[:64].astype(np.float64)
         apart = ((e[:, None] - e[None]) ** 2).sum(axis=2)
         np.fill_diagonal(apart, np.inf)
