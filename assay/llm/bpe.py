@@ -13,6 +13,7 @@ word table is bounded too: when it is full it starts anew.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 from assay.llm.texts import named, text_or_empty
 
 #: memory of one task's DuckDB; bytes of words merged in one query; words and chunks kept by a task
-MEMORY, MERGED, KEPT = "300MB", 1 << 19, 300_000
+MEMORY, MERGED, KEPT = "200MB", 1 << 18, 300_000
 #: tokens decoded in one query; bytes from which a word is merged alone, and rounds of such a query
 DECODED, LONG, ROUNDS = 1 << 18, 512, 16
 #: characters of chunks and words that a task keeps
 KEPT_CHARACTERS = 1 << 24
+#: white space that is more than one space between two words
+_GAP = re.compile(r"(\s{2,}|[^\S ])")
 
 # States of all words, one round after the other. A row is a token at a position of a word, packed as
 # word << 32 | position; ``best`` has each word's smallest rank, then leftmost position, packed alike.
@@ -151,6 +154,7 @@ class ByteBpe:
                     piece=[t.decode("latin-1") for t in self.ranks])
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.words, self.chunks = Spelled(), Spelled()
+        self.spelt: list[bytes] = []  # what the ids of the chunks decode to, as far as it was asked for
         self.size = 0
 
     def _table(self, name: str, **columns) -> None:
@@ -203,28 +207,49 @@ class ByteBpe:
         A cut is made before a single space between two characters that are no white space: the
         pattern starts a new word there whatever surrounds it. Other texts stay whole up to such a cut.
         """
-        parts = text.split(" ")
-        out, start, at = [], 0, len(parts[0])
-        open_ = not parts[0] or parts[0][-1].isspace()
-        for part in parts[1:]:
-            if not open_ and part and not part[0].isspace():
-                out.append(text[start:at])
-                start = at
-            at += 1 + len(part)
-            open_ = not part or part[-1].isspace()
-        return [*out, text[start:]]
+        out, open_ = [], ""
+        for i, part in enumerate(_GAP.split(text)):
+            words = part.split(" ") if i % 2 == 0 else [part]
+            open_ += words[0]
+            if len(words) > 1:
+                out.append(open_)
+                out += [" " + w for w in words[1:-1]]
+                open_ = " " + words[-1]
+        out.append(open_)
+        if text[:1] == " ":  # one space at the start or the end of the text is no cut
+            out[:2] = ["".join(out[:2])]
+        if len(out) > 1 and out[-1] == " ":
+            out[-2:] = ["".join(out[-2:])]
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
+    def _numbered(self, texts: list[str]) -> list[list[str]]:
+        """The chunks of each text, all of them known."""
         split = [self._chunks_of(t) for t in texts]
         if max(len(self.chunks.number), len(self.words.number)) > KEPT or self.size > KEPT_CHARACTERS:
-            self.chunks.clear(), self.words.clear()
+            self.chunks.clear(), self.words.clear(), self.spelt.clear()
             self.size = 0
         new = {c for chunks in split for c in chunks}.difference(self.chunks.number)
         if new:
             self.size += sum(map(len, new))
             self._learn(sorted(new))
-        return self.chunks.take(split)
+        return split
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        return self.chunks.take(self._numbered(texts))
+
+    def round_trip(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+        """Token ids of each text, and the bytes that they decode to.
+
+        A text's ids are those of its chunks, one after the other, so each different chunk's ids are
+        decoded once and a text's bytes are those of its chunks.
+        """
+        split = self._numbered(texts)
+        known, chunks = len(self.spelt), self.chunks
+        more = [chunks.ids[s:s + n] for s, n in zip(chunks.starts[known:len(chunks.number)], chunks.sizes[known:len(chunks.number)])]
+        self.spelt += self.decode(more)
+        get, spelt = chunks.number.__getitem__, self.spelt
+        return chunks.take(split), [b"".join([spelt[get(c)] for c in own]) for own in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids, in the order of the ids; an unknown id is an error."""
@@ -311,29 +336,34 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                      text_col: str = "text", columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
                      ) -> DataFrame:
     """Every row's id as ``doc_id``, with the named columns: ``n_tokens``; ``ids`` as array<int>;
-    ``ids_le``, the ids as little-endian 32-bit integers; ``decoded``, the bytes that the ids decode to.
+    ``ids_le``, the ids as little-endian 32-bit integers; ``decoded``, the bytes that the ids decode to;
+    ``round_trip``, whether these are the text's.
 
     Null and empty texts give no tokens and no bytes. Repeated rows and ids are encoded alike. An
     empty table gives no rows. Only the two named columns are read. ``path`` must be readable by
     the executors.
     """
     rows = docs.select(named(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    kinds = {"n_tokens": "long", "ids": "array<int>", "ids_le": "binary", "decoded": "binary"}
+    kinds = {"n_tokens": "long", "ids": "array<int>", "ids_le": "binary", "decoded": "binary",
+             "round_trip": "boolean"}
     make = {
-        "n_tokens": lambda own, ids: pa.array([len(x) for x in ids], pa.int64()),
-        "ids": lambda own, ids: _lists(ids),
-        "ids_le": lambda own, ids: pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
-        "decoded": lambda own, ids: pa.array(own.decode(ids), pa.binary()),
+        "n_tokens": lambda texts, ids, back: pa.array([len(x) for x in ids], pa.int64()),
+        "ids": lambda texts, ids, back: _lists(ids),
+        "ids_le": lambda texts, ids, back: pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+        "decoded": lambda texts, ids, back: pa.array(back, pa.binary()),
+        "round_trip": lambda texts, ids, back: pa.array([t.encode() == b for t, b in zip(texts, back)], pa.bool_()),
     }
+    decodes = not {"decoded", "round_trip"}.isdisjoint(columns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, end in _batches(texts):
-                ids = own.encode(texts[start:end])
+                some = texts[start:end]
+                ids, back = own.round_trip(some) if decodes else (own.encode(some), None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), *[make[c](own, ids) for c in columns]],
+                    [batch.column(0).slice(start, end - start), *[make[c](some, ids, back) for c in columns]],
                     ["doc_id", *columns])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

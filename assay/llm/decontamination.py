@@ -90,8 +90,11 @@ class ItemIndex:
     impact of each entry, ``firsts`` its first posting.
     """
 
-    def __init__(self, postings: Iterator[tuple[bytes, str, float]], texts: dict[str, bytes]):
+    def __init__(self, postings: Iterator[tuple[bytes, str, float]], texts: dict[str, bytes],
+                 shown: dict[str, str | None] | None = None):
         self.names = sorted(texts)
+        #: the item id that is reported for each name
+        self.shown = [shown[n] for n in self.names] if shown else self.names
         number = {name: i for i, name in enumerate(self.names)}
         rows = sorted((term, number[name], impact) for term, name, impact in postings)
         self.items = np.array([r[1] for r in rows], np.int64)
@@ -171,7 +174,7 @@ class ItemIndex:
                 q, a = overlap(self.asked[item], near), overlap(self.answers[item], near)
                 if q >= question and a >= answer:
                     best[item] = max(best.get(item, (-1.0,)), (score, q, a, -low, min(high, len(words))))
-        return [{"item_id": self.names[i], "score": s, "question_overlap": q, "answer_overlap": a,
+        return [{"item_id": self.shown[i], "score": s, "question_overlap": q, "answer_overlap": a,
                  "start_word": -low, "end_word": high} for i, (s, q, a, low, high) in sorted(best.items())]
 
 
@@ -214,19 +217,21 @@ def item_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                  passage: int = PASSAGE, postings: int = POSTINGS) -> Iterator[ItemIndex]:
     """The index in parts of about ``postings`` postings each, one at a time.
 
-    Items with a null id or without a word are left out; of a repeated id the smallest text counts.
+    Every different (id, text) row is an item of its own, rows with a null id included, so a
+    repeated id loses nothing. Items without a word are left out.
     """
-    texts = items.where(named(id_col).isNotNull()).groupBy(named(id_col).cast("string").alias("item_id")).agg(
-        F.min(text_or_empty(text_col)).alias("text"))
-    impacts = cut_lineage(item_impacts(texts, "item_id", "text", passage))
+    own_id, body = named(id_col).cast("string"), text_or_empty(text_col)
+    name = F.concat(F.coalesce(F.concat(F.lit("+"), own_id), F.lit("-")), F.lit(" "), F.sha2(body, 256))
+    texts = cut_lineage(items.select(name.alias("name"), own_id.alias("item_id"), body.alias("text")).distinct())
+    impacts = cut_lineage(item_impacts(texts, "name", "text", passage))
     parts = max(1, -(-impacts.count() // postings))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     for i in range(parts):
-        own = impacts.where(part == i).toArrow()
+        own = impacts.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i).toArrow()
         if own.num_rows:
-            named_texts = texts.where(part == i).toArrow().to_pydict()
-            bodies = {n: t.encode() for n, t in zip(named_texts["item_id"], named_texts["text"]) if words_of(t.encode())}
-            yield ItemIndex(zip(own["term"].to_pylist(), own["item_id"].to_pylist(), own["impact"].to_pylist()), bodies)
+            rows = texts.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == i).toArrow().to_pylist()
+            rows = [r for r in rows if words_of(r["text"].encode())]
+            yield ItemIndex(zip(own["term"].to_pylist(), own["item_id"].to_pylist(), own["impact"].to_pylist()),
+                            {r["name"]: r["text"].encode() for r in rows}, {r["name"]: r["item_id"] for r in rows})
 
 
 def _leaks_udf(shared, options: tuple[int, float, float, float]):
@@ -240,25 +245,53 @@ def _leaks_udf(shared, options: tuple[int, float, float, float]):
     return run
 
 
-def leaks_column(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
-                 item_text_col: str = "text", passage: int = PASSAGE, threshold: float = THRESHOLD,
-                 question: float = QUESTION, answer: float = ANSWER) -> Column:
-    """For a column of ``docs``: the verified leaks of each text, an empty array for a clean one.
+def _scans(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, item_text_col: str,
+           passage: int, threshold: float, question: float, answer: float, postings: int) -> Iterator[tuple]:
+    """(the column of verified leaks, its broadcast) of one part of the index after the other.
 
-    Null and empty texts are clean; an empty item table makes every text clean. Items of equal text
-    are all reported. Only the text column is read.
+    The driver and the executors hold one part at a time, however many there are: who takes a part
+    writes what it found, then releases the broadcast, before the next one is built.
     """
-    found = []
-    for index in item_indexes(items, item_id_col, item_text_col, passage):
+    for index in item_indexes(items, item_id_col, item_text_col, passage, postings):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        found.append(_leaks_udf(shared, (passage, threshold, question, answer))(
-            text_or_empty(text_col).cast("binary")))
-    return F.concat(*found) if found else F.array().cast(LEAKS)
+        del index
+        yield _leaks_udf(shared, (passage, threshold, question, answer))(text_or_empty(text_col).cast("binary")), shared
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          **options) -> DataFrame:
-    """One row for each (document row, benchmark item) that is verified; see ``leaks_column``."""
-    found = docs.select(named(id_col).alias("doc_id"),
-                        leaks_column(docs, items, text_col, **options).alias("leaks"))
-    return found.select("doc_id", F.inline("leaks"))
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+          item_text_col: str = "text", passage: int = PASSAGE, threshold: float = THRESHOLD,
+          question: float = QUESTION, answer: float = ANSWER, postings: int = POSTINGS) -> DataFrame:
+    """One row for each (document row, benchmark item) that is verified.
+
+    Null and empty texts are clean; an empty item table makes every text clean. Every different
+    (id, text) of the items is searched, null ids too (reported as null); items of equal text are
+    all reported. Repeated documents are reported alike; other columns are not read. The index is
+    searched in parts of about ``postings`` postings; each part's leaks are written before the next.
+    """
+    found = None
+    for column, shared in _scans(docs, items, text_col, item_id_col, item_text_col, passage, threshold,
+                                 question, answer, postings):
+        part = cut_lineage(docs.select(named(id_col).alias("doc_id"), F.inline(column)))
+        shared.unpersist()
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        none = docs.where(F.lit(False)).select(named(id_col).alias("doc_id"), F.inline(F.array().cast(LEAKS)))
+        return none
+    return found
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                  item_text_col: str = "text", passage: int = PASSAGE, threshold: float = THRESHOLD,
+                  question: float = QUESTION, answer: float = ANSWER, postings: int = POSTINGS) -> DataFrame:
+    """The rows of ``docs`` in which ``leaks`` finds no item, with all their columns.
+
+    Between parts of the index the rows that are still clean are written; the last part is a filter.
+    """
+    last = None
+    for column, shared in _scans(docs, items, text_col, item_id_col, item_text_col, passage, threshold,
+                                 question, answer, postings):
+        if last is not None:
+            docs = cut_lineage(docs.where(F.size(last[0]) == 0))
+            last[1].unpersist()
+        last = column, shared
+    return docs if last is None else docs.where(F.size(last[0]) == 0)

@@ -50,12 +50,6 @@ def test_exact_stage(kept):
     assert rows(kept[2]) == sorted(best.values())
 
 
-def test_near_stage(kept):
-    before = rows(kept[2])
-    reach = smallest_reachable([plain_fingerprint(r[1]) for r in before])
-    assert rows(kept[3]) == [r for i, r in enumerate(before) if reach[i] == i]
-
-
 def plain_shingles(text):
     words = text.encode().lower().split()
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)}

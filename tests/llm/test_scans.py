@@ -219,3 +219,17 @@ def test_leak_edges(spark, odd, empty):
     many = spark.createDataFrame([(i, f"item {i} asks q{i} r{i} s{i} t{i}. answer u{i} v{i}.") for i in range(50)], "item_id long, text string")
     parts = list(dec.item_indexes(many, postings=100))
     assert len(parts) > 2 and sum(len(p.names) for p in parts) == 50
+
+
+def test_every_item_is_searched(spark):
+    """Repeated and null ids; in one part and in many, kept rows and found rows alike."""
+    texts = ["Which river runs through the old mill town? The green river Ards.",
+             "Who first crossed the northern ice on foot? The captain Orla Venn.",
+             "What metal do the bells of Harrow hold? A little silver and tin."]
+    items = spark.createDataFrame([("a", texts[0]), ("a", texts[1]), (None, texts[2]), ("a", texts[0])], "item_id string, text string")
+    docs = spark.createDataFrame([(i, f"Some words before. {t} Some words after.", "x") for i, t in enumerate(texts)]
+                                 + [(9, "Nothing of the sort is found here.", "y")], "doc_id long, text string, leaks string")
+    for postings in (5, 10_000):
+        found = dec.leaks(docs, items, postings=postings).collect()
+        assert sorted((r.doc_id, r.item_id or "") for r in found) == [(0, "a"), (1, "a"), (2, "")]
+        assert [tuple(r)[0::2] for r in dec.without_leaks(docs, items, postings=postings).collect()] == [(9, "y")]
