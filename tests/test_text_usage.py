@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from assay.operators.matching import common_subsequences
 from assay.functions.similarity import common_subsequence, token_set_ratio
 from assay.operators import text as x
 from assay.operators import usage as u
@@ -38,12 +39,11 @@ def words(s):
 
 
 def brute(new, past, threshold):
-    share = (threshold / 100) / (2 - threshold / 100)
+    """Every pair scored, none left out beforehand. Rows are (id, text, key) and (id, text, sign, key)."""
     best = {}
-    for (i, a), (j, b, sign) in itertools.product(new, past):
+    for (i, a, k), (j, b, sign, m) in itertools.product(new, past):
         wa, wb = words(a), words(b)
-        weight = [sum(len(w) + 1 for w in s) for s in (wa, wb, set(wa) & set(wb))]
-        if not wa or not wb or weight[2] < share * min(weight[:2]) or weight[2] == 0:
+        if not wa or not wb or k != m:
             continue
         s = token_set_ratio(" ".join(wa), " ".join(wb))
         if s >= threshold and ((i, sign) not in best or (-s, j) < best[(i, sign)]):
@@ -57,15 +57,42 @@ def test_nearest_past_questions_equal_brute_force(frame, hot):
     vocabulary = ["revenue"] * 12 + "profit region by month top five products of the what drives cost in".split()
     def sentence():
         return " ".join(rng.choices(vocabulary, k=rng.randint(1, 6))) + rng.choice(["", "?", "!"])
-    new = [(i, sentence()) for i in range(40)] + [(99, "??")]
-    past = [(i, sentence(), rng.choice(["positive", "negative"])) for i in range(80)]
-    out = x.similar_questions(frame("id int, text string", new),
-                              frame("id int, text string, sign string", past), hot=hot).collect()
-    got = {(r["id"], r["sign"]): (r["past_id"], r["score"]) for r in out}
-    want = brute(new, past, 65)
-    assert got.keys() == want.keys() and len(got) == len(out)
-    for k in want:
-        assert got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1])
+    keys = [None, "", "u1", "u1", "u1"]
+    new = [(i, sentence(), rng.choice(keys)) for i in range(40)] + [(99, "??", "u1")]
+    past = [(i, sentence(), rng.choice(["positive", "negative"]), rng.choice(keys)) for i in range(80)]
+    for by in (None, "user"):
+        out = x.similar_questions(frame("id int, text string, user string", new),
+                                  frame("id int, text string, sign string, user string", past), hot=hot, by=by).collect()
+        got = {(r["id"], r["sign"]): (r["past_id"], r["score"]) for r in out}
+        plain = lambda rows: rows if by else [(*r[:-1], 0) for r in rows]
+        want = brute(plain(new), plain(past), 65)
+        assert got.keys() == want.keys() and len(got) == len(out)
+        for k in want:
+            assert got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1])
+
+
+@pytest.mark.parametrize("threshold", [40, 65, 90, 100])
+def test_pairs_spelled_alike_without_a_common_word(frame, threshold):
+    rng = random.Random(threshold)
+    stems = ["profit", "region", "showing", "month", "averages", "über", "x"]
+    def sentence():
+        return " ".join(rng.choice(stems) + rng.choice(["", "s", "es", "al"]) for _ in range(rng.randint(1, 4)))
+    new = [(i, sentence()) for i in range(30)] + [(50, "show profits per regions"), (51, "z" * 150)]
+    past = [(i, sentence(), "positive") for i in range(50)] + [(60, "shows profit per region", "positive"), (61, "z" * 140, "positive")]
+    out = x.similar_questions(frame("id int, text string", new), frame("id int, text string, sign string", past), threshold)
+    got = {(r["id"], r["sign"]): (r["past_id"], r["score"]) for r in out.collect()}
+    want = brute([(*r, 0) for r in new], [(*r, 0) for r in past], threshold)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    if threshold == 90:
+        assert got[50, "positive"][0] == 60 and got[51, "positive"][0] == 61
+
+
+def test_common_subsequences_at_once():
+    rng = random.Random(1)
+    for n in (1, 5, 63, 64, 65, 130, 300):
+        a = "".join(rng.choice("abcdeé🙂 ") for _ in range(n))
+        others = ["".join(rng.choice("abcdeé🙂z ") for _ in range(rng.randint(0, 200))) for _ in range(30)] + [a, ""]
+        assert common_subsequences(a, others).tolist() == [common_subsequence(a, b) for b in others]
 
 
 def test_tags_take_the_most_confident_rule(frame):
@@ -94,8 +121,27 @@ def test_dictionary_lookup(frame):
     assert set(rows) == {"revenue", "revenu", "sale_date"}
     assert rows["revenue"]["best"] == "revenue" and rows["revenue"]["status"] == "clear"
     assert rows["sale_date"]["status"] == "ambiguous"
-    with pytest.raises(ValueError):
-        x.fuzzy_lookup(df, "t", [str(i) for i in range(x.MAX_DICTIONARY + 1)])
+
+
+def test_large_dictionaries_with_aliases(frame):
+    """Every token against every name, in a plain double loop; names of more than one word."""
+    rng = random.Random(2)
+    stems = ["sale", "date", "unit", "price", "order", "region", "cost"]
+    names = {f"{rng.choice(stems)}{rng.choice(['_', ' ', ''])}{rng.choice(stems)}{rng.choice(['', 's', i % 7])}": f"col{i % 90}" for i in range(400)}
+    tokens = ["".join(rng.choice(stems) + rng.choice(["", "_", " ", "x"]) for _ in range(rng.randint(1, 2))) for _ in range(60)]
+    got = {r["token"]: r for r in x.fuzzy_lookup(
+        frame("t string", [(t,) for t in tokens] + [("",)]), "t", frame("alias string, entry string", list(names.items()) + [(None, "c")])).collect()}
+    for token in set(tokens):
+        scores = {}
+        for alias, entry in names.items():
+            s = token_set_ratio(token, alias)
+            if s >= 55:
+                scores[entry] = max(s, scores.get(entry, 0))
+        order = sorted(scores.items(), key=lambda e: (-e[1], e[0]))
+        assert (token in got) == bool(order)
+        if order:
+            assert got[token]["best"] == order[0][0] and got[token]["score"] == pytest.approx(order[0][1])
+            assert got[token]["candidates"] == [e for e, s in order if s >= order[0][1] - 8][:10]
 
 
 def test_activity_is_not_multiplied_by_the_joins(frame):
