@@ -220,8 +220,7 @@ def derived_metric_by_group(df: DataFrame, numerator: str, denominator: str, key
 
 
 def open_summary(df: DataFrame, metrics: list[str], limit: int = LIMIT) -> DataFrame:
-    """Mean, median and standard deviation of the first three metrics."""
-    metrics = metrics[:3]
+    """Mean, median and standard deviation of every metric."""
     one = quantile_row(df, {f"median{i}": (m, 0.5) for i, m in enumerate(metrics)}, limit, also={
         f"m{i}": F.struct(F.avg(col(m)).alias("mean"), F.stddev_samp(col(m)).alias("std"))
         for i, m in enumerate(metrics)})

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,7 @@ from assay.session import cut_lineage, keep
 SEED = 42
 MAX_DEPTH = 30          # as deep as Spark's trees go
 STARTS, ITERATIONS = 10, 300
+POOL, TOLERANCE = 10_000, 1e-4     # rows that first centres are drawn from; squared movement of centres at rest
 MIN_ROWS_REGRESSION = MIN_ROWS_SEGMENTS = 30
 MIN_ROWS_ANOMALY = 50
 MIN_MONTHS = 12
@@ -95,41 +96,153 @@ class Segments:
     k: int
     silhouette: float
     assigned: DataFrame
-    model: KMeansModel
+    centres: np.ndarray     # in standardised units
+    cost: float             # squared standardised distances to the nearest centre, all rows
+
+
+def first_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the points, each drawn in proportion to its squared distance from those drawn before."""
+    rng = np.random.default_rng(seed)
+    chosen = [points[rng.integers(len(points))]]
+    apart = ((points - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        at = rng.choice(len(points), p=apart / apart.sum()) if apart.sum() > 0 else rng.integers(len(points))
+        chosen.append(points[at])
+        apart = np.minimum(apart, ((points - points[at]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _points(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    return pc.list_flatten(batch.column("features")).to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _nearest(x: np.ndarray, fits: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(fit, place of the nearest centre, squared distance) of each point; the first of equals."""
+    centres = np.concatenate(list(fits.values()))
+    lengths = (x ** 2).sum(axis=1)
+    apart = (centres ** 2).sum(axis=1) - 2 * x @ centres.T
+    start = 0
+    for f, own in fits.items():
+        part = apart[:, start:start + len(own)]
+        at = part.argmin(axis=1)
+        yield f, at, np.maximum(part[np.arange(len(x)), at] + lengths, 0)
+        start += len(own)
+
+
+def _cluster_sums(points: DataFrame, fits: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """One scan for all fits: (n, cost, sum of squared lengths, sums of the components) per cluster."""
+    size = next(iter(fits.values())).shape[1]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {f: np.zeros((len(c), 3 + size)) for f, c in fits.items()}
+        for batch in batches:
+            x = _points(batch, size)
+            rows = np.column_stack([np.ones(len(x)), np.zeros(len(x)), (x ** 2).sum(axis=1), x])
+            for f, at, rows[:, 1] in _nearest(x, fits):
+                member = np.zeros((len(fits[f]), len(x)))
+                member[at, np.arange(len(x))] = 1
+                total[f] += member @ rows
+        places = [(f, c) for f, t in total.items() for c in range(len(t))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f for f, _ in places], pa.int64()), pa.array([c for _, c in places], pa.int64()),
+             pa.array([total[f][c].tolist() for f, c in places], pa.list_(pa.float64()))], names=["fit", "cluster", "sums"])
+
+    found = points.select("features").mapInArrow(sums, "fit long, cluster long, sums array<double>")
+    rows = found.groupBy("fit", "cluster").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(3 + size)]).collect()
+    out = {f: np.zeros((len(c), 3 + size)) for f, c in fits.items()}
+    for r in rows:  # a row for each centre
+        out[r["fit"]][r["cluster"]] = [r[f"s{i}"] for i in range(3 + size)]
+    return out
+
+
+def _silhouettes(points: DataFrame, fits: dict[int, np.ndarray], sums: dict[int, np.ndarray]) -> dict[int, float]:
+    """Mean silhouette of each fit in one scan, from squared distances and cluster sums."""
+    size = next(iter(fits.values())).shape[1]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = dict.fromkeys(fits, 0.0), 0
+        for batch in batches:
+            x = _points(batch, size)
+            n += len(x)
+            for f, at, _ in _nearest(x, fits):
+                count = np.maximum(sums[f][:, 0], 1)
+                apart = ((x ** 2).sum(axis=1)[:, None] + sums[f][:, 2] / count - 2 * x @ (sums[f][:, 3:] / count[:, None]).T)
+                apart[:, sums[f][:, 0] == 0] = np.inf
+                here = np.arange(len(x)), at
+                own = apart[here] * count[at] / np.maximum(count[at] - 1, 1)
+                apart[here] = np.inf
+                other = apart.min(axis=1)
+                score = np.where(count[at] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
+                total[f] += score.sum()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.float64()),
+             pa.array([n] * len(total), pa.int64())], names=["fit", "score", "n"])
+
+    rows = points.select("features").mapInArrow(judge, "fit long, score double, n long").groupBy("fit").agg(
+        (F.sum("score") / F.sum("n")).alias("score")).collect()
+    return {r["fit"]: r["score"] for r in rows}
 
 
 def fit_segments(df: DataFrame, columns: list[str], *keys: str, seed: int = SEED, starts: int = STARTS,
                  iterations: int = ITERATIONS) -> Segments | None:
     """K-means on standardised columns, k from 2 to 6 by best silhouette; None if not enough data.
 
-    Each k is fitted from ``starts`` beginnings and the fit with the smallest cost stays.
+    Each k is fitted from ``starts`` beginnings and the fit with the smallest cost stays. All fits move
+    together: one scan a round adds up every fit's clusters, and a fit is left out once its centres
+    rest, so 50 fits take as many scans as the slowest of them. First centres are drawn from the
+    ``POOL`` rows with the smallest hash, the same rows whatever the partitioning; everything after
+    that sees all rows. A centre without rows stays where it is.
 
-    The silhouette is Spark's (squared distances, from cluster sums), linear in the rows.
+    The silhouette uses squared distances and cluster sums, so it is linear in the rows.
     """
     columns = covered_columns(df, columns)
     if len(columns) < 2:
         return None
-    data = _complete(df, columns, *keys).withColumn("raw", _vector(columns))
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    scaled = cut_lineage(scaler.fit(data).transform(data).drop("raw"))
-    n = scaled.count()
+    data = _complete(df, columns, *keys)
+    facts = data.agg(F.count("*").alias("n"), *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+                     *[F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    n = facts["n"]
     if n < MIN_ROWS_SEGMENTS:
         return None
-    judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
-    best = None
-    for k in range(2, min(MAX_SEGMENTS, n // 5) + 1):
-        fits = [KMeans(k=k, seed=seed + i, maxIter=iterations).fit(scaled) for i in range(starts)]
-        model = min(fits, key=lambda fit: fit.summary.trainingCost)
-        if model.summary.k < 2 or sum(s > 0 for s in model.summary.clusterSizes) < 2:
-            continue
-        score = judge.evaluate(model.transform(scaled))
-        if best is None or score > best[0]:
-            best = (score, k, model)
-    if best is None:
+    parts = [(col(c) - facts[f"m{i}"]) / facts[f"s{i}"] if facts[f"s{i}"] else F.lit(0.0) for i, c in enumerate(columns)]
+    scaled = cut_lineage(data.withColumn("features", F.array(*parts)))
+    own = [col(c) for c in columns]
+    pool = scaled.orderBy(F.xxhash64(*own), *own).select("features").limit(POOL).collect()
+    points = np.array([r["features"] for r in pool])
+    fits = {k * starts + i: first_centres(points, k, seed + i)
+            for k in range(2, min(MAX_SEGMENTS, n // 5) + 1) for i in range(starts)}
+    moving = dict(fits)
+    for _ in range(iterations):
+        if not moving:
+            break
+        for f, s in _cluster_sums(scaled, moving).items():
+            filled = s[:, 0] > 0
+            centres = fits[f].copy()
+            centres[filled] = s[filled, 3:] / s[filled, :1]
+            if ((centres - fits[f]) ** 2).sum() <= TOLERANCE:
+                del moving[f]
+            else:
+                moving[f] = centres
+            fits[f] = centres
+    sums = _cluster_sums(scaled, fits)
+    best = {}
+    for f, s in sums.items():
+        if (s[:, 0] > 0).sum() > 1:
+            best[f // starts] = min(best.get(f // starts, (np.inf, f)), (s[:, 1].sum(), f))
+    if not best:
         return None
-    score, k, model = best
-    assigned = model.transform(scaled).withColumnRenamed("prediction", "segment").drop("features")
-    return Segments(columns, k, float(score), assigned, model)
+    chosen = {f: fits[f] for _, f in best.values()}
+    scores = _silhouettes(scaled, chosen, sums)
+    k = max(best, key=lambda k: (scores[best[k][1]], -k))
+    cost, f = best[k]
+    centres = fits[f][sums[f][:, 0] > 0]
+
+    def distance(centre: np.ndarray) -> Column:
+        return reduce(lambda a, b: a + b, [(F.col("features")[i] - float(v)) ** 2 for i, v in enumerate(centre)])
+
+    nearest = F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))
+    assigned = scaled.withColumn("segment", nearest["i"]).drop("features")
+    return Segments(columns, k, float(scores[f]), assigned, centres, float(cost))
 
 
 def segment_profiles(segments: Segments) -> DataFrame:
@@ -146,8 +259,7 @@ def segment_profiles(segments: Segments) -> DataFrame:
 
 def segment_differences(segments: Segments) -> DataFrame:
     """Columns by the variance of their standardised centres: where the segments differ most."""
-    centres = np.array(segments.model.clusterCenters())
-    rows = [(c, float(v)) for c, v in zip(segments.columns, centres.var(axis=0, ddof=1))]
+    rows = [(c, float(v)) for c, v in zip(segments.columns, segments.centres.var(axis=0, ddof=1))]
     return segments.assigned.sparkSession.createDataFrame(
         rows, "column string, variance double").orderBy(F.col("variance").desc(), "column")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from assay.functions.exprs import (
     TINY, col, correlation as corr_of, kurtosis, skewness,
     strength, unpivot)
-from assay.functions.orderstats import (
-    ACCURACY, LIMIT, MAX_ROUNDS, Bracket, narrow, per_target, values_inside)
+from assay.functions.orderstats import LIMIT
 from assay.functions.pvalues import p_value
 from assay.operators.profiling import as_double, stats_with_rows
+from assay.session import cut_lineage
 
 MIN_CORRELATION = 0.30
 MIN_SKEW = 1.0
@@ -174,13 +175,14 @@ def factor_influence(df: DataFrame, target: str, numeric: list[str],
 # --- concentration --------------------------------------------------------------------------------
 
 def pareto(df: DataFrame, column: str, min_pct: float = MIN_CONCENTRATION,
-           limit: int = LIMIT) -> DataFrame:
+           parts: int | None = None) -> DataFrame:
     """Share of the total held by the top fifth of rows, and rows needed for 80 % of it.
 
     No row if the column has fewer than 20 values, a negative value, no positive total, or a top
-    fifth holding less than ``min_pct`` percent.
+    fifth holding less than ``min_pct`` percent. ``parts``: ranges of values (by default the shuffle
+    partitions).
     """
-    facts, points = _concentration(df, column, limit, curve=False)
+    facts, points = _concentration(df, column, parts, curve=False)
     if points is None:
         return df.sparkSession.createDataFrame([], _PARETO_SCHEMA)
     n, total = facts["n"], facts["total"]
@@ -196,12 +198,12 @@ _PARETO_SCHEMA = ("column string, n bigint, total double, top_20_pct double, n_f
                   " pct_rows_for_80 double")
 
 
-def cumulative_share(df: DataFrame, column: str, limit: int = LIMIT) -> DataFrame:
+def cumulative_share(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
     """(pct_rows, pct_value): how the total accumulates from the largest value down.
 
     A point at every twentieth of the rows (each row below 40 rows), from the first to the last.
     """
-    facts, points = _concentration(df, column, limit, curve=True)
+    facts, points = _concentration(df, column, parts, curve=True)
     if points is None:
         return df.sparkSession.createDataFrame([], "pct_rows double, pct_value double")
     ranks, n, total = facts["ranks"], facts["n"], facts["total"]
@@ -209,90 +211,43 @@ def cumulative_share(df: DataFrame, column: str, limit: int = LIMIT) -> DataFram
     return unpivot(points, rows, ["pct_rows", "pct_value"])
 
 
-def _concentration(df: DataFrame, column: str, limit: int, curve: bool):
+def _concentration(df: DataFrame, column: str, parts: int | None, curve: bool):
     """(facts, one-row frame): sum of the r largest values for each rank r, rows for 80 %.
 
-    Values are grouped before they are ordered. Up to ``limit`` distinct values form one ordered
-    group; beyond that each rank gets its own checked bracket (see ``orderstats``).
+    Prefix sums over ranges. Each different value is one row with its count, however often it occurs;
+    these rows are dealt to ranges of values and written. A range's own total is carried to all ranges
+    below it, so running totals are worked out inside a range, and no task sees more than one.
     """
-    values = df.select(as_double(df, column).alias("v")).filter("v IS NOT NULL")
-    facts = values.agg(F.count("v").alias("n"), F.sum("v").alias("total"),
-                       F.min("v").alias("low"), F.max("v").alias("high")).first().asDict()
-    n, total = facts["n"], facts["total"]
-    if n < 20 or facts["low"] < 0 or total <= 0:
+    v, n = F.col("value"), F.col("n")
+    counted = (df.select(as_double(df, column).alias("value")).filter("value IS NOT NULL")
+               .groupBy("value").agg(F.count("*").alias("n")))
+    ranges = counted.repartitionByRange(parts, v.desc()) if parts else counted.repartitionByRange(v.desc())
+    ranges = cut_lineage(ranges.withColumn("part", F.spark_partition_id()))
+    totals = ranges.groupBy("part").agg(F.sum("n").alias("rows"), F.sum(v * n).alias("held"), F.min("value").alias("low"))
+    totals = totals.orderBy("part").collect()  # one row for each range
+    facts = {"n": sum(r["rows"] for r in totals), "total": math.fsum(r["held"] for r in totals)}
+    if facts["n"] < 20 or min(r["low"] for r in totals) < 0 or facts["total"] <= 0:
         return facts, None
-    step = max(1, n // 20)
-    ranks = sorted({*range(1, n + 1, step), n}) if curve else [max(1, int(n * TOP_SHARE))]
+    size = facts["n"]
+    ranks = sorted({*range(1, size + 1, max(1, size // 20)), size}) if curve else [max(1, int(size * TOP_SHARE))]
     facts["ranks"] = ranks
-    v = F.col("v")
-
-    if n <= limit:
-        brackets = [Bracket("all", v, 0, 0, 0.0, n)]
-        homes = ["all"] * len(ranks)
-        goal = "all"
-        above_n, above_sum = {"all": 0}, {"all": 0.0}
-    else:
-        brackets = [Bracket(f"p{i}", v, n - r, n - r, 0.0, n) for i, r in enumerate(ranks)]
-        narrow(values, brackets, limit)
-        homes, goal = [b.name for b in brackets], "goal"
-        if not curve:
-            brackets.append(_goal_bracket(values, facts, limit))
-        sums = values.agg(*[
-            F.struct(F.count_if(v > (b.high if b.high is not None else facts["high"])).alias("n"),
-                     F.coalesce(F.sum(F.when(
-                         v > (b.high if b.high is not None else facts["high"]), v)), F.lit(0.0))
-                     .alias("s")).alias(b.name) for b in brackets
-        ]).first()
-        above_n = {b.name: sums[b.name]["n"] for b in brackets}
-        above_sum = {b.name: sums[b.name]["s"] for b in brackets}
-
-    for b in brackets:
-        b.above_n, b.above_sum = above_n[b.name], above_sum[b.name]
-    w = Window.partitionBy("target").orderBy(F.col("value").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    weight = F.col("value") * F.col("n")
-    running = values_inside(values, brackets).select(
-        "target", "value", "n",
-        (F.sum("n").over(w) - F.col("n") + per_target(brackets, "above_n")).alias("rows_before"),
-        (F.sum(weight).over(w) - weight + per_target(brackets, "above_sum")).alias("sum_before"))
+    above, rows, held = [], 0, 0.0
+    for r in totals:
+        above.append((r["part"], rows, held))
+        rows, held = rows + r["rows"], held + r["held"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(above, "part int, rows_above long, sum_above double"))
+    w = Window.partitionBy("part").orderBy(v.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = ranges.join(offsets, "part").select(
+        "value", "n", (F.sum("n").over(w) - n + F.col("rows_above")).alias("rows_before"),
+        (F.sum(v * n).over(w) - v * n + F.col("sum_above")).alias("sum_before"))
     found = []
-    for i, (r, home) in enumerate(zip(ranks, homes)):
-        here = ((F.col("target") == home) & (F.col("rows_before") < r)
-                & (F.col("rows_before") + F.col("n") >= r))
-        found.append(F.max(F.when(
-            here, F.col("sum_before") + (F.lit(r) - F.col("rows_before")) * F.col("value")))
-            .alias(f"p{i}"))
+    for i, r in enumerate(ranks):
+        here = (F.col("rows_before") < r) & (F.col("rows_before") + n >= r)
+        found.append(F.max(F.when(here, F.col("sum_before") + (F.lit(r) - F.col("rows_before")) * v)).alias(f"p{i}"))
     if not curve:
-        goal_sum = F.lit(total * TARGET_SHARE)
-        fitting = F.least(F.col("n"), F.when(
-            F.col("value") > 0,
-            F.floor((goal_sum - F.col("sum_before")) / F.greatest(F.col("value"), F.lit(5e-324))))
-            .otherwise(F.col("n")))
-        inside = (F.col("target") == goal) & (F.col("sum_before") <= goal_sum)
-        start = next(b.above_n for b in brackets if b.name == goal)
-        found.append((F.coalesce(F.sum(F.when(inside, fitting)), F.lit(0)) + F.lit(start) + 1)
+        goal = F.lit(facts["total"] * TARGET_SHARE)
+        fitting = F.least(n, F.when(v > 0, F.floor(
+            (goal - F.col("sum_before")) / F.greatest(v, F.lit(5e-324)))).otherwise(n))
+        found.append((F.coalesce(F.sum(F.when(F.col("sum_before") <= goal, fitting)), F.lit(0)) + 1)
                      .cast("bigint").alias("n_for_80"))
     return facts, running.agg(*found)
-
-
-def _goal_bracket(values: DataFrame, facts: dict, limit: int) -> Bracket:
-    """Interval of values in which the running total from the top passes 80 % of the total."""
-    v, goal = F.col("v"), facts["total"] * TARGET_SHARE
-    b = Bracket("goal", v, 0, 0, 0.0, facts["n"], low=facts["low"], high=facts["high"])
-    for _ in range(MAX_ROUNDS):
-        cuts = values.agg(F.percentile_approx(
-            F.when(b.holds(), v), F.array(*[F.lit(i / 64) for i in range(65)]),
-            F.lit(ACCURACY)).alias("q")).first()["q"]
-        cuts = sorted({b.low, b.high, *cuts})
-        sums = values.agg(*[F.coalesce(F.sum(F.when(v > c, v)), F.lit(0.0)).alias(f"s{i}")
-                            for i, c in enumerate(cuts)]).first()
-        high = min(c for i, c in enumerate(cuts) if sums[f"s{i}"] <= goal)
-        low = max([c for i, c in enumerate(cuts) if sums[f"s{i}"] > goal], default=b.low)
-        stuck = (low, high) == (b.low, b.high)
-        b.low, b.high = low, high
-        seen = values.agg(F.count_if(b.holds()).alias("n"), F.approx_count_distinct(
-            F.when(b.holds(), v)).alias("d")).first()
-        b.inside, b.distinct = seen["n"], seen["d"]
-        if b.distinct <= limit or stuck:
-            break
-    return b

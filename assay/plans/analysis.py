@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.exprs import unpivot
@@ -20,8 +20,8 @@ from assay.session import cut_lineage, keep
 
 MIN_ROWS_CORRELATION = 10
 
-#: categories of more values are named as skipped; a finding's chart holds a point for each group
-MAX_GROUPS = 1000
+#: largest groups that a finding's chart shows one by one, and what the others together are called
+CHART_GROUPS, OTHERS = 1000, "(all others)"
 
 # Parts of column names that are never summed up in a concentration analysis.
 NOT_ADDITIVE = ("id", "index", "rank", "year", "month", "day", "code", "num", "no")
@@ -81,7 +81,7 @@ def statistical_findings(df: DataFrame, meta: dict, n_rows: int, limit: int = LI
     _missing(df, out)
     additive = [c for c in numeric if not any(p in c.lower() for p in NOT_ADDITIVE)]
     for c in additive:
-        _pareto(df, c, out, limit)
+        _pareto(df, c, out)
     return out.rows
 
 
@@ -112,35 +112,41 @@ def _correlations(df: DataFrame, numeric: list[str], out: _Findings) -> None:
 
 
 def _groups(df: DataFrame, words: list[str], numeric: list[str], out: _Findings) -> None:
-    """All category x measure summaries in one pass, and the top five of each."""
-    sizes = df.agg(*[F.count_distinct(F.col(f"`{c}`")) for c in words]).first()
-    usable = [c for c, n in zip(words, sizes) if 0 < n <= MAX_GROUPS]
-    for c, n in zip(words, sizes):
-        if n > MAX_GROUPS:  # named here, and answered by group_summary without a bound
-            out.add("groups_skipped", "statistics", "missing_data", [c], {"n_groups": n}, 0.0, 1.0, None, out.n_rows)
-    if not usable:
+    """All category x measure summaries in one pass, and the top five of each.
+
+    Leader, mean and distance are aggregates over every group, however many there are. The chart has
+    the largest groups and one exact point for all others together.
+    """
+    if not words or not numeric:
         return
     cells = unpivot(df, [(F.lit(c), F.lit(m), F.col(f"`{c}`").cast("string"),
-                          profiling.as_double(df, m)) for c in usable for m in numeric],
+                          profiling.as_double(df, m)) for c in words for m in numeric],
                     ["category", "measure", "grp", "x"])
-    totals = (
-        cells.filter("grp IS NOT NULL").groupBy("category", "measure", "grp")
-        .agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("total"), F.avg("x").alias("average"))
-        .orderBy("category", "measure", F.col("total").desc(), "grp").collect()  # at most MAX_GROUPS rows a pair
-    )
-    for c in usable:
+    totals = cut_lineage(cells.filter("grp IS NOT NULL").groupBy("category", "measure", "grp")
+                         .agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("total")))
+    pair = ["category", "measure"]
+    facts = {(r["category"], r["measure"]): r for r in totals.groupBy(*pair).agg(
+        F.avg("total").alias("mean"), F.sum("total").alias("sum"), F.count("*").alias("n")).collect()}
+    order = Window.partitionBy(*pair).orderBy(F.col("total").desc(), "grp")
+    charts: dict[tuple, list] = {}
+    for r in (totals.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CHART_GROUPS)
+              .orderBy(*pair, "place").collect()):  # at most CHART_GROUPS rows a pair
+        charts.setdefault((r["category"], r["measure"]), []).append((r["grp"], r["total"]))
+    for c in words:
         for m in numeric:
-            rows = [r for r in totals if r["category"] == c and r["measure"] == m]
-            mean = sum(r["total"] for r in rows) / len(rows)
-            above = (rows[0]["total"] - mean) / max(abs(mean), 1e-9) * 100
-            chart = [(r["grp"], r["total"]) for r in rows]
+            if (c, m) not in facts:
+                continue
+            fact, chart = facts[c, m], charts[c, m]
+            leader, top = chart[0]
+            above = (top - fact["mean"]) / max(abs(fact["mean"]), 1e-9) * 100
+            rest = [(OTHERS, fact["sum"] - sum(t for _, t in chart))] if fact["n"] > len(chart) else []
             out.add("groups", "statistics", "ranking", [c, m],
-                    {"top_total": rows[0]["total"], "group_mean": mean, "pct_above_mean": above},
+                    {"top_total": top, "group_mean": fact["mean"], "pct_above_mean": above},
                     abs(above) / 100, max(0.4, 1 - out.null_rate(m)), out.warning(m, out.n_rows),
-                    out.n_rows, chart, {"leader": rows[0]["grp"]})
-            out.add("top", "statistics", "ranking", [c, m], {"top_total": rows[0]["total"]},
+                    out.n_rows, chart + rest, {"leader": leader})
+            out.add("top", "statistics", "ranking", [c, m], {"top_total": top},
                     0.7, max(0.4, 1 - out.null_rate(m)), None, out.n_rows,
-                    chart[:ranking.TOP_N], {"leader": rows[0]["grp"]})
+                    chart[:ranking.TOP_N], {"leader": leader})
 
 
 def _trend(df: DataFrame, ts: str, metric: str, out: _Findings) -> None:
@@ -165,10 +171,10 @@ def _missing(df: DataFrame, out: _Findings) -> None:
                 [(r["column"], r["missing_pct"]) for r in rows])
 
 
-def _pareto(df: DataFrame, column: str, out: _Findings, limit: int) -> None:
-    row = stats.pareto(df, column, limit=limit).first()
+def _pareto(df: DataFrame, column: str, out: _Findings) -> None:
+    row = stats.pareto(df, column).first()
     if row:
-        curve = stats.cumulative_share(df, column, limit).orderBy("pct_rows").collect()
+        curve = stats.cumulative_share(df, column).orderBy("pct_rows").collect()
         out.add("pareto", "statistics", "ranking", [column],
                 {k: row[k] for k in ("top_20_pct", "pct_rows_for_80", "total")},
                 (row["top_20_pct"] - 40) / 60, max(0.5, 1 - out.null_rate(column)), None,

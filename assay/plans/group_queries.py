@@ -78,9 +78,9 @@ QUERIES = {
         r.top_groups(sales(s, d, "brand", "revenue"), "brand", "revenue", "std"), 3),
     "group_summary_many": lambda s, d: rounded(g.group_summary(
         sales(s, d, "nation", "brand", "revenue").withColumn("kind", F.concat_ws(" / ", "nation", "brand")),
-        "kind", "revenue"), 2),
+        "kind", "revenue"), 4),
     "group_compare_many": lambda s, d: rounded(g.group_compare_two(
-        sales(s, d, "nation", "brand", "revenue"), "nation", "brand", "revenue"), 2),
+        sales(s, d, "nation", "brand", "revenue"), "nation", "brand", "revenue"), 4),
     "category_relationship_many": lambda s, d: rounded(g.category_relationship(
         sales(s, d, "nation", "brand", "revenue").withColumn("kind", F.concat_ws(" / ", "nation", "brand")),
         "kind", "revenue"), 2),
@@ -143,12 +143,12 @@ _MANY = SALES_WITH + """grouped AS (SELECT nation || ' / ' || brand AS kind, nat
 
 ORACLE = {
     "group_summary_many": _MANY + """
-        SELECT kind, round(total, 2) AS total, round(average, 2) AS average, n,
-               round(avg(total) OVER (), 2) AS group_mean, CAST(count(*) OVER () AS BIGINT) AS n_groups,
-               round((total / avg(total) OVER () - 1) * 100, 2) AS pct_vs_mean FROM grouped""",
+        SELECT kind, round(total, 4) AS total, round(average, 4) AS average, n,
+               round(avg(total) OVER (), 4) AS group_mean, CAST(count(*) OVER () AS BIGINT) AS n_groups,
+               round((total / avg(total) OVER () - 1) * 100, 4) AS pct_vs_mean FROM grouped""",
     "group_compare_many": _MANY + """
-        SELECT nation, brand, round(total, 2) AS total, round(avg(total) OVER (), 2) AS cell_mean, kind AS label,
-               round((total / avg(total) OVER () - 1) * 100, 2) AS pct_vs_mean FROM grouped""",
+        SELECT nation, brand, round(total, 4) AS total, round(avg(total) OVER (), 4) AS cell_mean, kind AS label,
+               round((total / avg(total) OVER () - 1) * 100, 4) AS pct_vs_mean FROM grouped""",
     "category_relationship_many": _MANY + """
         SELECT CAST(count(*) AS BIGINT) AS n_groups, arg_max(kind, total) AS top_group,
             round(max(total), 2) AS top_value, arg_min(kind, total) AS bottom_group,

@@ -36,6 +36,7 @@ def _dirty_profile(spark, sf_dir):
 
 
 NARROW = 300    # distinct values that one task may order: far fewer than these tables have
+RANGES = 50  # ranges of values that a concentration is spread over
 
 
 QUERIES = {
@@ -80,9 +81,9 @@ QUERIES = {
     "shape_stats": lambda s, d: rounded(st.shape_stats(
         table(s, d, "events"), ["value", "user_id"], min_skew=0.0), 5),
     "pareto": lambda s, d: rounded(st.pareto(table(s, d, "events"), "value"), 4),
-    "pareto_narrowed": lambda s, d: rounded(st.pareto(table(s, d, "events"), "value", limit=NARROW), 4),
+    "pareto_narrowed": lambda s, d: rounded(st.pareto(table(s, d, "events"), "value", parts=RANGES), 4),
     "cumulative_share_narrowed": lambda s, d: rounded(
-        st.cumulative_share(table(s, d, "events"), "value", limit=NARROW), 4),
+        st.cumulative_share(table(s, d, "events"), "value", parts=RANGES), 4),
     "numeric_stats_narrowed": lambda s, d: rounded(p.numeric_stats(
         sales(s, d, *MEASURES), MEASURES, NARROW), 4, **QUANTILES),
     "cumulative_share": lambda s, d: rounded(st.cumulative_share(table(s, d, "events"), "value"), 4),

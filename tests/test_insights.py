@@ -106,3 +106,19 @@ def test_odd_column_names(frame):
         "describe", "groups", "trend", "segments", "anomalies", "forecast", "importance"}
     best = ranking.multi_criteria_rank(df, "Lead Studio", ["unit.price", "Rotten Tomatoes %"])
     assert best.count() == 4
+
+
+def test_groups_of_any_number_keep_leader_mean_and_an_exact_rest(frame):
+    from assay.plans import analysis
+    from assay.operators import profiling
+    n = analysis.CHART_GROUPS + 200
+    df = frame("k string, v double", [(f"g{i:05d}", float(i)) for i in range(n)] + [("g00003", 10.0 * n), (None, 1e9)])
+    meta = {r["column"]: r.asDict() for r in profiling.profile(df).collect()}
+    out = analysis._Findings(meta, n + 2)
+    analysis._groups(df, ["k"], ["v"], out)
+    assert len(out.rows) == 2
+    text = repr(out.rows[0])
+    total = n * (n - 1) / 2 + 10.0 * n
+    shown = 3 + 10.0 * n + sum(range(n - analysis.CHART_GROUPS + 1, n))
+    assert "g00003" in text and repr((analysis.OTHERS, total - shown, None)) in text
+    assert str(total / n) in text

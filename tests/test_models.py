@@ -39,6 +39,57 @@ def test_importance_finds_the_driver(frame):
     assert m.feature_importance(df.limit(29), "y", ["x", "z"]).count() == 0
 
 
+def plain_kmeans(x, centres, rounds=300):
+    """Lloyd's rounds over all points, one fit."""
+    for _ in range(rounds):
+        at = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[at == k].mean(axis=0) if (at == k).any() else centres[k] for k in range(len(centres))])
+        if ((moved - centres) ** 2).sum(axis=1).max() <= 1e-8:
+            break
+        centres = moved
+    at = ((x[:, None] - moved[None]) ** 2).sum(axis=2).argmin(axis=1)
+    return moved, at, ((x - moved[at]) ** 2).sum()
+
+
+def plain_silhouette(x, at):
+    """Mean over all points from all pairwise squared distances."""
+    d, scores = ((x[:, None] - x[None]) ** 2).sum(axis=2), []
+    for i in range(len(x)):
+        same = at == at[i]
+        if same.sum() == 1:
+            scores.append(0.0)
+            continue
+        own = d[i, same].sum() / (same.sum() - 1)
+        other = min(d[i, at == k].mean() for k in set(at) - {at[i]})
+        scores.append((other - own) / max(own, other))
+    return float(np.mean(scores))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_all_fits_together_equal_one_by_one(frame, parts):
+    rng = np.random.default_rng(4)
+    data = np.vstack([rng.normal(c, 1.2, (70, 3)) for c in ([0, 0, 0], [4, 0, 1], [0, 5, 2], [4, 4, 9])])
+    df = frame("id int, a double, b double, c double", [(i, *map(float, r)) for i, r in enumerate(data)])
+    found = m.fit_segments(df.repartition(parts), ["a", "b", "c"], "id", starts=3)
+    x = (data - data.mean(axis=0)) / data.std(axis=0, ddof=1)
+    silhouette = plain_silhouette(x, np.array([r.segment for r in found.assigned.orderBy("id").collect()]))
+    assert found.silhouette == pytest.approx(silhouette, rel=1e-9)
+    # a fit at rest: every centre is the mean of its rows, every row is at its nearest centre
+    moved, at, cost = plain_kmeans(x, found.centres, rounds=1)
+    assert ((moved - found.centres) ** 2).sum() <= 1e-3 and cost == pytest.approx(found.cost, rel=1e-3)
+    # no worse than the best of plain fits from many beginnings
+    assert found.cost <= 1.02 * min(plain_kmeans(x, m.first_centres(x, found.k, s))[2] for s in range(10))
+
+
+def test_segments_do_not_depend_on_the_partitioning(frame):
+    rng = np.random.default_rng(9)
+    df = frame("id int, a double, b double", [(i, *map(float, rng.normal(i % 3, 1, 2))) for i in range(200)])
+    one, many = (m.fit_segments(df.repartition(n), ["a", "b"], "id", starts=2) for n in (1, 9))
+    assert one.k == many.k and np.allclose(one.centres, many.centres)
+    rows = lambda found: {r.id: r.segment for r in found.assigned.collect()}
+    assert rows(one) == rows(many)
+
+
 def test_three_blobs_give_three_segments(frame):
     rng = np.random.default_rng(0)
     rows = [(i, float(cx + rng.normal(0, .3)), float(cy + rng.normal(0, .3)), None)
