@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -49,6 +51,26 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def written_tables() -> Iterator[list[str]]:
+    """Lists the tables that ``cut_lineage`` writes inside, for who can tell when they are no longer read."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        _open.pop()
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes written tables now rather than when the application ends."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the checkpoint folder, and read back from there.
 
@@ -58,6 +80,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
