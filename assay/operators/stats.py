@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from assay.functions.exprs import (
     TINY, col, correlation as corr_of, kurtosis, skewness,
     strength, unpivot)
+from assay.functions.gram import pair_correlations
+from assay.functions.hot import join_counted
 from assay.functions.orderstats import LIMIT
 from assay.functions.pvalues import p_value
 from assay.operators.profiling import as_double, stats_with_rows
@@ -21,6 +23,7 @@ MIN_SKEW = 1.0
 TOP_SHARE = 0.20        # of the rows
 TARGET_SHARE = 0.80     # of the total
 MIN_CONCENTRATION = 40.0
+WIDE = 32               # columns from which on pairs are sums of blocks instead of one expression each
 
 
 def reliability(null_rate: Column, n: Column) -> Column:
@@ -45,9 +48,11 @@ def describe(df: DataFrame, columns: list[str], limit: int = LIMIT) -> DataFrame
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r, n) of every pair of columns, in one aggregate over the data."""
+    """(a, b, r, n) of every pair of columns, in one scan of the data."""
     values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     pairs = list(combinations(range(len(columns)), 2))
+    if len(columns) >= WIDE:
+        return _named_pairs(pair_correlations(values), columns, "r")
     one = values.agg(*[
         F.struct(corr_of(f"c{i}", f"c{j}").alias("r"),
                  F.count_if(F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()).alias("n"))
@@ -58,6 +63,75 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return unpivot(one, rows, ["a", "b", "r", "n"])
 
 
+def _named_pairs(found: DataFrame, columns: list[str], value: str) -> DataFrame:
+    """Pairs by number as pairs by name; a pair without complete rows has no value and n = 0."""
+    names = [(i, j, columns[i], columns[j]) for i, j in combinations(range(len(columns)), 2)]
+    named = df_of(found, names, "a long, b long, left string, right string")
+    return named.join(found, ["a", "b"], "left").select(
+        F.col("left").alias("a"), F.col("right").alias("b"), value, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
+def spearman_matrix(df: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
+    """(a, b, rho, n) of every pair of columns: Pearson r of average ranks over the complete rows.
+
+    Equal values share the mean of their ranks. Each pair's rows are reduced to distinct value pairs
+    with counts, and these to distinct values; values are dealt to ``parts`` ranges, and a range's total
+    is carried to those above it, so no task ranks more than a range. Ranks return to the value
+    pairs by a join that no frequent value slows down. rho is null if either column is constant.
+    """
+    values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    pairs = [(F.lit(i), F.lit(j), F.col(f"c{i}"), F.col(f"c{j}")) for i, j in combinations(range(len(columns)), 2)]
+    joint = cut_lineage(unpivot(values, pairs, ["a", "b", "x", "y"]).where("x IS NOT NULL AND y IS NOT NULL")
+                        .groupBy("a", "b", "x", "y").agg(F.count("*").alias("n")))
+    a, b, times = F.col("a"), F.col("b"), F.col("n")
+    sides = unpivot(joint, [(a, b, F.lit(s), F.col(c), times) for s, c in ((0, "x"), (1, "y"))],
+                    ["a", "b", "side", "v", "n"])
+    series = ["a", "b", "side"]
+    counted = sides.groupBy(*series, "v").agg(F.sum("n").alias("n"))
+    order = [*series, "v"]
+    ranges = counted.repartitionByRange(parts, *order) if parts else counted.repartitionByRange(*order)
+    ranges = cut_lineage(ranges.withColumn("part", F.spark_partition_id()))
+    # at most one row for each range and one for each series: ranges of a series are neighbours
+    totals = ranges.groupBy("part", *series).agg(F.sum("n").alias("rows")).orderBy(*series, "part").collect()
+    sizes: dict[tuple, int] = {}
+    for t in totals:
+        sizes[t[1:4]] = sizes.get(t[1:4], 0) + t["rows"]
+    below, seen = [], dict.fromkeys(sizes, 0)
+    for t in totals:
+        below.append((*t[:4], seen[t[1:4]] - sizes[t[1:4]] / 2))
+        seen[t[1:4]] += t["rows"]
+    below = df_of(df, below, "part int, a int, b int, side int, below double")
+    w = Window.partitionBy("part", *series).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # (rows below + (n + 1) / 2) less the mean rank (N + 1) / 2
+    ranks = cut_lineage(ranges.join(F.broadcast(below), ["part", *series]).select(
+        *series, "v", "n", (F.sum("n").over(w) - F.col("n") / 2 + F.col("below")).alias("rank")))
+    ranked = joint
+    for side, c in ((0, "x"), (1, "y")):
+        keys = ranks.where(F.col("side") == side).select(
+            a, b, F.col("v").alias(c), times.alias("rows"), F.col("rank").alias(f"rank_{c}"))
+        ranked = cut_lineage(join_counted(ranked, keys, ["a", "b", c], "rows"))
+    x, y = F.col("rank_x"), F.col("rank_y")
+    sums = ranked.groupBy("a", "b").agg(F.sum(times * x * y).alias("xy"), F.sum(times * x * x).alias("xx"),
+                                        F.sum(times * y * y).alias("yy"), F.sum(times).alias("n"))
+    rho = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
+    return _named_pairs(sums.select("a", "b", rho.alias("rho"), "n"), columns, "rho")
+
+
+def spearman(df: DataFrame, columns: list[str], min_abs: float = 0.0, parts: int | None = None) -> DataFrame:
+    """Rank correlations of at least ``min_abs`` with strength and direction, strongest first."""
+    return (
+        spearman_matrix(df, columns, parts)
+        .filter(F.col("rho").isNotNull() & (F.abs("rho") >= min_abs))
+        .withColumn("strength", strength(F.col("rho")))
+        .withColumn("direction", F.when(F.col("rho") > 0, "positive").otherwise("negative"))
+        .orderBy(F.abs("rho").desc(), "a", "b")
+    )
+
+
 def correlation_pairs(df: DataFrame, columns: list[str], min_abs: float = MIN_CORRELATION,
                       top: int | None = 3) -> DataFrame:
     """The strongest pairs with |r| at least ``min_abs``; ``top=None`` keeps them all."""

@@ -39,6 +39,24 @@ NARROW = 300    # distinct values that one task may order: far fewer than these
 RANGES = 50  # ranges of values that a concentration is spread over
 
 
+RANKED = ["revenue", "quantity", "sparse", "row_id"]
+
+
+def _spearman_sql(source: str, columns: list[str]) -> str:
+    """Average ranks over the complete rows of each pair, then Pearson r."""
+    def rank(c: str) -> str:
+        return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    pairs = " UNION ALL ".join(
+        f"""SELECT '{a}' AS a, '{b}' AS b, corr(x, y) AS rho, CAST(count(*) AS BIGINT) AS n FROM
+            (SELECT {rank(a)} AS x, {rank(b)} AS y FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+        for i, a in enumerate(columns) for b in columns[i + 1:])
+    return f"""pairs AS ({pairs})
+        SELECT a, b, round(rho, 6) AS rho, n, CASE WHEN abs(rho) >= 0.8 THEN 'very strong'
+            WHEN abs(rho) >= 0.6 THEN 'strong' WHEN abs(rho) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength,
+            CASE WHEN rho > 0 THEN 'positive' ELSE 'negative' END AS direction FROM pairs
+        WHERE rho IS NOT NULL AND NOT isnan(rho)"""
+
+
 QUERIES = {
     "null_profile": lambda s, d: rounded(p.null_profile(dirty_sales(s, d))),
     "missing_summary": lambda s, d: rounded(p.missing_summary(dirty_sales(s, d))),
@@ -76,6 +94,10 @@ QUERIES = {
     "correlation_all": lambda s, d: rounded(st.correlation_pairs(
         dirty_sales(s, d, "revenue", "quantity", "sparse", "row_id"),
         ["revenue", "quantity", "sparse", "row_id"], min_abs=0.0, top=None), 6),
+    "spearman": lambda s, d: rounded(st.spearman(
+        dirty_sales(s, d, "revenue", "quantity", "sparse", "row_id"), RANKED), 6),
+    "spearman_narrowed": lambda s, d: rounded(st.spearman(
+        sales(s, d, *MEASURES), MEASURES, parts=RANGES), 6),
     "correlation": lambda s, d: rounded(st.correlation(
         sales(s, d, "quantity", "revenue"), "quantity", "revenue").drop("p_value", "significant"), 6),
     "shape_stats": lambda s, d: rounded(st.shape_stats(
@@ -308,6 +330,8 @@ ORACLE = {
             WHEN abs(r) >= 0.6 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength,
             CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM pairs
         WHERE r IS NOT NULL AND NOT isnan(r)""",
+    "spearman": DIRTY_WITH + _spearman_sql("dirty", RANKED),
+    "spearman_narrowed": SALES_WITH + _spearman_sql("sales", MEASURES),
     "correlation": SALES_SQL + """SELECT 'quantity' AS a, 'revenue' AS b, round(r, 6) AS r, n,
         CASE WHEN abs(r) >= 0.8 THEN 'very strong' WHEN abs(r) >= 0.6 THEN 'strong'
              WHEN abs(r) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength,

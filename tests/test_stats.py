@@ -99,3 +99,45 @@ def test_scatter_counts_every_pair(frame):
     assert sum(r["n"] for r in rows) == 100 and len(rows) == 50
     assert min(r["x"] for r in rows) > 0 and max(r["x"] for r in rows) < 99
     assert [tuple(r) for r in st.scatter(frame("a double, b double", [(2.0, 3.0)] * 4), "a", "b").collect()] == [(2.0, 3.0, 4)]
+
+
+def test_many_columns_in_one_scan_of_block_sums(spark, frame):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 40)) + rng.normal(size=(300, 40)) + 1e6
+    base[rng.random(base.shape) < 0.2] = np.nan
+    base[:, 7], base[:, 9] = 5.0, np.nan
+    names = [f"v{i}" for i in range(40)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in base]
+    df = frame(", ".join(f"{c} double" for c in names), rows).repartition(7)
+    found = {(r["a"], r["b"]): r for r in st.correlation_matrix(df, names).collect()}
+    assert len(found) == 40 * 39 // 2
+    for (a, b), r in found.items():
+        x, y = base[:, names.index(a)], base[:, names.index(b)]
+        both = ~np.isnan(x) & ~np.isnan(y)
+        assert r["n"] == both.sum()
+        if {a, b} & {"v7", "v9"}:
+            assert r["r"] is None
+        else:
+            assert r["r"] == pytest.approx(np.corrcoef(x[both], y[both])[0, 1], abs=1e-9)
+
+
+@pytest.mark.parametrize("parts", [None, 1, 13])
+def test_rank_correlation_with_ties_and_gaps(frame, parts):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 12, 400).astype(float), rng.normal(size=400).round(1)
+    y[:150] = 0.0  # one value in more than a third of the rows
+    z = x + y
+    rows = [(float(a), None if i % 9 == 0 else float(b), float(c), 1.0, None) for i, (a, b, c) in enumerate(zip(x, y, z))]
+    df = frame("x double, y double, z double, k double, none double", rows)
+    found = {(r["a"], r["b"]): r for r in st.spearman_matrix(df, ["x", "y", "z", "k", "none"], parts).collect()}
+
+    def ranks(v):
+        return np.array([(v < t).sum() + ((v == t).sum() + 1) / 2 for t in v])
+
+    for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+        i = "xyz".index(a), "xyz".index(b)
+        whole = np.array([[r[i[0]], r[i[1]]] for r in rows if r[i[0]] is not None and r[i[1]] is not None])
+        assert found[(a, b)]["n"] == len(whole)
+        assert found[(a, b)]["rho"] == pytest.approx(np.corrcoef(ranks(whole[:, 0]), ranks(whole[:, 1]))[0, 1])
+    assert found[("x", "k")]["rho"] is None and found[("x", "none")]["n"] == 0
+    assert len(found) == 10 and st.spearman(df.where("x > 99"), ["x", "y"]).count() == 0
