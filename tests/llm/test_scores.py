@@ -175,12 +175,21 @@ def test_training_lowers_the_loss():
     assert losses[-1] < losses[0] / 4
 
 
-def test_every_training_text_is_walked_in_each_round(spark):
+def test_every_training_text_is_walked_once(spark):
     alphabet, flat, _ = small_model(4)
     for n in range(3):  # alone, a text that is left out would leave the weights as they are
-        texts = spark.createDataFrame([(f"text number {n} of some words".encode(),)], "text binary")
-        for turn in range(lm.ROUNDS):
-            assert not np.array_equal(lm.fit_round(texts, flat, alphabet, PATH, PATTERN, turn), flat)
+        texts = spark.createDataFrame([(5 * n, f"text number {n} of some words".encode())], "mark long, text binary")
+        moved = [not np.array_equal(lm.fit_round(texts, flat, alphabet, PATH, PATTERN, turn), flat)
+                 for turn in range(lm.ROUNDS)]
+        assert moved == [turn == n % lm.ROUNDS for turn in range(lm.ROUNDS)]
+
+
+def test_scores_do_not_depend_on_the_layout(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 3000)  # several shards
+    few, many = (sorted(map(tuple, lm.score_texts(d, PATH, PATTERN).collect()))
+                 for d in (documents.coalesce(1), documents.repartition(5, "text")))
+    assert [r[:5] for r in few] == [r[:5] for r in many]
+    assert np.allclose([r[5:] for r in few], [r[5:] for r in many], rtol=1e-6)
 
 
 def test_lm_odd_rows(odd, odd_rows, empty):
