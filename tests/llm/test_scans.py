@@ -61,6 +61,24 @@ def test_base_spans_of_strange_texts(spark):
     assert got == {i: joined(plain_spans(t)) for i, t in rows}
 
 
+def test_places_of_very_many_matches(spark):
+    from pyspark.sql import functions as F
+
+    from assay.llm.pii import base_spans
+    words = [f"ü user{i}@host.org" if i % 3 else f"10.0.0.{i % 300}" for i in range(9000)]
+    text = "\n".join(words)
+    rows = spark.createDataFrame([(text,), ("",), ("a@b.c",)], "text string").select(base_spans(F.col("text"))).collect()
+    at, want = 0, []
+    for i, w in enumerate(words):
+        if i % 3:
+            want.append((at + 2, "email", at + len(w)))
+        elif i % 300 < 256:
+            want.append((at, "ip", at + len(w)))
+        at += len(w) + 1
+    assert [(s.start, s.kind, s.end) for s in rows[0][0]] == want
+    assert rows[1][0] == [] and [(s.start, s.end) for s in rows[2][0]] == [(0, 5)]
+
+
 def test_contexts_find_what_no_pattern_knows(spark):
     people = [(i, f"some words here mailbox user{i}@host.example.org ends and more text {i % 3}") for i in range(20)]
     unseen = [(100, "now the mailbox joe77-at-host ends and more"), (101, "an address joe77-at-host alone"),
