@@ -1,7 +1,7 @@
 """Cleaning with an audit trail: nothing is dropped or changed without a row saying so.
 
-``clean`` runs the eleven steps in order. The deduplicated rows are written once (that shuffle is
-the expensive part); every later step is a projection over them, and each decision (fill values,
+``clean`` runs the eleven steps in order. Copies are found by digests and the rows
+that stay are written once; every later step is a projection over them, and each decision (fill values,
 case variants, fences) comes from one aggregate for all columns together.
 """
 
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.exprs import col, to_number, union, unpivot
+from assay.functions.hot import join_counted
 from assay.functions.orderstats import LIMIT, quantile_row
-from assay.operators.profiling import date_formats, kind_of, parse_date, present, value_counts
+from assay.operators.profiling import date_formats, kind_of, parse_date, present, row_digest, value_counts
 from assay.session import cut_lineage
 
 SPARSE = 0.80
@@ -168,8 +169,19 @@ def drop_sparse(df: DataFrame, prof: DataFrame, share: float = SPARSE) -> DataFr
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Without rows equal to another row in every column."""
-    return df.dropDuplicates()
+    """Without rows equal to another row in every column.
+
+    The table is written once with an address for each row. Digests and addresses are shuffled; of rows
+    with one digest the smallest address stays. The addresses that go are a written table too, so Spark
+    knows its size: where it is small it is broadcast and no row moves, else rows meet it by address.
+    """
+    if "__address" in df.columns:
+        raise ValueError("the column name __address is taken")
+    table = cut_lineage(df.withColumn("__address", F.monotonically_increasing_id()))
+    marked = table.select(row_digest(df).alias("digest"), "__address")
+    first = marked.groupBy("digest").agg(F.min("__address").alias("stays"), F.count("*").alias("n")).where("n > 1")
+    gone = cut_lineage(join_counted(marked, first, ["digest"], "n").where("__address > stays").select("__address"))
+    return table.join(gone, "__address", "left_anti").drop("__address")
 
 
 def constant_columns(df: DataFrame, exempt: list[str] = ()) -> list[str]:
@@ -290,7 +302,7 @@ def clean(df: DataFrame, prof: DataFrame, limit: int = LIMIT,
     kept = [c for c in df.columns if c not in gone]
     frame = df.select(*[present(f).alias(f.name) for f in df.schema.fields if f.name in kept])
 
-    # 2 duplicates: the one shuffle of whole rows, written once
+    # 2 duplicates: found by digests, what stays written once
     frame = cut_lineage(drop_duplicates(frame))
     n_rows = frame.count()
     if n_raw > n_rows:

@@ -140,3 +140,23 @@ def test_row_level_steps_run_on_streams(spark, tmp_path):
     finally:
         query.stop()
     assert [tuple(r) for r in spark.table("tidied").collect()] == [("a b", 1)]
+
+
+def test_duplicates_by_digest(spark):
+    nan = float("nan")
+    rows = [(None, "a", 1.0, [1, None]), ("a", None, 1.0, [1, None]), ("a", "", 0.0, None), ("a", "", -0.0, None),
+            ("a,1:b", "c", nan, []), ("a", "1:b,c", nan, []), ("a,1:b", "c", nan, [])] * 40 + [(None, None, None, None)] * 900
+    df = spark.createDataFrame(rows, "x string, y string, z double, w array<int>").repartition(7)
+    kept = c.drop_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.dropDuplicates().collect()))
+    assert p.duplicate_count(df).first()[0] == len(rows) - 6
+    assert c.drop_duplicates(df.limit(0)).count() == 0
+
+
+def test_duplicates_shuffle_no_text(spark):
+    df = spark.range(1000).selectExpr("id % 10 AS k", "repeat('x', 50) AS words")
+    for found in (p.duplicate_count(df), c.drop_duplicates(df)):
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in text.split("\n") if "Exchange hash" in line and "words" in line]
+    assert "SortMergeJoin" not in text

@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 from assay.sources import sinks
+from assay.sources.pages import page_index
 from assay.sources.readers import check_shape, clean_header, read_table
 from assay.sources.tables import sales
 
@@ -45,3 +48,27 @@ def test_sales_joins_only_what_it_needs(spark, sf_dir):
     assert "Join" not in plan("revenue", "returnflag")
     assert plan("revenue", "priority").count("Join") == 1
     assert sales(spark, sf_dir).count() == sales(spark, sf_dir, "quantity").count()
+
+
+def test_pages_equal_slices_of_the_sorted_table(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, float("nan"), -0.5, 1.5, 2.5]), i, f"t{i % 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, id int, t string").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] is not None and r[0] != r[0],
+                                       0 if r[0] is None or r[0] != r[0] else r[0], r[1]))
+    index = page_index(df, ["a", "id"], 6)
+    assert index.total == 400 and len(index.ranges) > 3
+    for offset, n in ((0, 1), (57, 90), (199, 3), (360, 100), (399, 5), (400, 5), (-4, 0)):
+        got = [(r["id"], r["total_rows"]) for r in index.page(offset, n).collect()]
+        assert got == [(r[1], 400) for r in want[max(0, offset):max(0, offset) + max(1, n)]]
+    assert page_index(df.limit(0), "id").page().collect() == []
+
+
+def test_a_deep_page_sorts_one_range(spark):
+    df = spark.range(0, 10_000, 1, 8).selectExpr("id AS k", "repeat('x', 20) AS text")
+    index = page_index(df, "k", 20)
+    page = index.page(9_300, 10)
+    touched = page._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["k"] for r in page.collect()] == list(range(9_300, 9_310)) and "Filter" in touched
+    low, high, n = next(r for r in index.ranges if r[0]["k0"] <= 9_300 <= r[1]["k0"])
+    assert n < 2_000 and high["k0"] - low["k0"] + 1 == n
