@@ -168,13 +168,17 @@ def drop_sparse(df: DataFrame, prof: DataFrame, share: float = SPARSE) -> DataFr
     return df.drop(*gone)
 
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
+def drop_duplicates(df: DataFrame, few: bool = False) -> DataFrame:
     """Without rows equal to another row in every column.
 
-    The table is written once with an address for each row. Digests and addresses are shuffled; of rows
-    with one digest the smallest address stays. The addresses that go are a written table too, so Spark
-    knows its size: where it is small it is broadcast and no row moves, else rows meet it by address.
+    ``few``: the caller knows that the rows have few different values (a handful of codes), so that each
+    task keeps few of them; they are then grouped as they are. Otherwise the table is written once with
+    an address for each row. Digests and addresses are shuffled; of rows with one digest the smallest
+    address stays. The addresses that go are a written table too, so Spark knows its size: where it is
+    small it is broadcast and no row moves, else rows meet it by address.
     """
+    if few:
+        return df.dropDuplicates()
     if "__address" in df.columns:
         raise ValueError("the column name __address is taken")
     table = cut_lineage(df.withColumn("__address", F.monotonically_increasing_id()))

@@ -49,7 +49,8 @@ QUERIES = {
         dirty_sales(s, d, "segment", "flag", "units_txt"), ["segment"]),
         ["segment", "flag", "units_txt"]),
     "drop_duplicates": lambda s, d: c.drop_duplicates(table(s, d, "orders").select(
-        "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("y"))),
+        "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("y")), few=True),
+    "drop_duplicates_wide": lambda s, d: c.drop_duplicates(table(s, d, "documents").select("lang", "source", "text")),
     "drop_sparse": lambda s, d: _drop_sparse(s, d),
     "drop_constant": lambda s, d: rounded(c.drop_constant(
         dirty_sales(s, d, "row_id", "flag", "constant"))),
@@ -123,6 +124,7 @@ ORACLE = {
     + " SELECT * FROM m_segment UNION ALL SELECT * FROM m_flag UNION ALL SELECT * FROM m_units_txt",
     "drop_duplicates": """SELECT DISTINCT o_orderstatus, o_orderpriority,
         CAST(year(o_orderdate) AS INTEGER) AS y FROM orders""",
+    "drop_duplicates_wide": "SELECT DISTINCT lang, source, text FROM documents",
     "drop_sparse": DIRTY_SQL + "SELECT row_id, flag FROM dirty",
     "drop_constant": DIRTY_SQL + "SELECT row_id, flag FROM dirty",
     "date_parts": """SELECT event_id, ts, CAST(year(ts) AS INTEGER) AS ts__year,
