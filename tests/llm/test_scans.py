@@ -90,6 +90,38 @@ def test_contexts_find_what_no_pattern_knows(spark):
     assert added == {100: f"context:{at}:{at + len('joe77-at-host')}"}
 
 
+def added_spans(spark, rows):
+    found = personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {r.doc_id: [(s.start, s.end) for s in r.found] for r in found.collect()}
+    return {i: [t[a:b] for a, b in got[i]] for i, t in rows if got[i]}
+
+
+def test_two_sided_contexts_of_common_words(spark):
+    rows = [(i, f"Please reach our agent at user{i}@host{i % 4}.org or call back") for i in range(20)]
+    rows += [(50, "ü please  reach our agent at\n(jane(at)host.org), or call back"), (51, "please reach our agent at j_doe or call back")]
+    rows += [(100 + i, f"we met at noon{'' if i % 2 else ' or'} later, agent or not, at {i} places; call our host") for i in range(60)]
+    assert added_spans(spark, rows) == {50: ["jane(at)host.org"], 51: ["j_doe"]}
+
+
+def test_found_words_induce_patterns(spark):
+    rows = [(i, f"mailbox user{i}@host.org ends") for i in range(30)]
+    # both contexts share the words j0 to j8; the second never holds a seed
+    rows += [(100 + i, f"mailbox j{i} signs here") for i in range(9)]
+    rows += [(200 + i, f"the clerk k{i} signs here") for i in range(2)] + [(300, "nobody here signed it")]
+    assert added_spans(spark, rows) == {**{100 + i: [f"j{i}"] for i in range(9)}, **{200 + i: [f"k{i}"] for i in range(2)}}
+
+
+def test_marked_texts(spark):
+    from pyspark.sql import functions as F
+
+    from assay.llm.pii import base_spans, marked_text
+    texts = ["ü call +1 555 010 9999 now\x01", "a@1.2.3.4 🙂 b@c.de,f@g.hi", "", "none", "x 4539 1488 0343 6467"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        marked_text(F.col("text"), base_spans(F.col("text")))).collect()
+    assert [r[0] for r in rows] == ["ü call \x01+1\x02555\x02010\x029999 now\x03", "\x01a@1.2.3.4 🙂 \x01b@c.de,\x01f@g.hi", "",
+                                    "none", "x \x014539\x021488\x020343\x026467"]
+
+
 def test_pattern_scores_by_hand(spark):
     edges = spark.createDataFrame([("p", "a", True, 3), ("p", "x", False, 1), ("q", "x", False, 2)],
                                   "pattern string, filling string, seed boolean, n long")
