@@ -128,3 +128,18 @@ def test_outliers_of_both_tails_and_their_count(frame):
     assert len(out) == 100 and {r["n_outliers"] for r in out} == {155}
     assert sum(r["v"] > 0 for r in out) == 5 and [r["v"] for r in out] == sorted(r["v"] for r in out)
     assert p.outlier_values(frame("v double", rows), "v", n=None).count() == 155
+
+
+def test_date_parsers_see_only_texts_of_their_shape(frame):
+    """A parser that fails throws, which costs more than the scan; shapes keep all that can be parsed."""
+    parts = ["1", "01", "0", "13", "31", "32", "2020", "02020", "20"]
+    names = ["Jan", "may", "March", "MARCH", "Foo"]
+    texts = [s.join((a, b, c)) for s in "/-." for a in parts for b in parts for c in parts]
+    texts += [t for n in names for d in parts for y in parts for t in (f"{n} {d}, {y}", f" {d} {n} {y}", f"{d}-{n}-{y} ")]
+    df = frame("t string", [(t,) for t in [*texts, "1/2/2020x", "x", "", None]])
+    text = F.trim("t")
+    for fmt in profiling.DATE_FORMATS[1:]:
+        free = F.when(text.rlike(profiling.DATE_SHAPE), F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
+        fits, found = text.rlike(profiling.DATE_SHAPES[fmt]), profiling.parse_date("t", fmt)
+        r = df.agg(F.count_if(~free.eqNullSafe(found)), F.count(found), F.count_if(fits)).first()
+        assert r[0] == 0 and 0 < r[1] <= r[2] < len(texts) / 5
