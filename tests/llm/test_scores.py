@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from assay.llm import lm
-from assay.llm.quality import FEATURES, PASS, features, fit, fit_pairs, quality_scores
+from assay.llm.quality import FEATURES, PASS, features, fit, fit_all_pairs, fit_pairs, quality_scores
 from assay.llm.queries import QUERIES
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -76,6 +76,34 @@ def test_pairs_learn_an_order():
     assert ((model.score(x) >= PASS) == (label == 1)).mean() > 0.95
 
 
+def test_all_training_rows_are_fitted_where_they_lie(spark, monkeypatch):
+    """The gradient of the loss over all pairs vanishes, and no row comes to the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(2)
+    x = np.zeros((300, FEATURES))
+    x[:, :6] = rng.normal(size=(300, 6))
+    label = (x[:, :6] @ np.array([2, -1, 0, 0, 1, 0]) + rng.normal(size=300) > 0.5).astype(int)
+    rows = spark.createDataFrame([(int(y), v.tolist()) for y, v in zip(label, x)], "label int, x array<float>")
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    model = fit_all_pairs(rows.repartition(5), float(1 - label.mean()))
+    z = (x.astype(np.float32) - model.mean) / model.std
+    good, bad = z[label == 1], z[label == 0]
+    pull = 1 / (1 + np.exp((good @ model.weights)[:, None] - (bad @ model.weights)[None, :])) / (len(good) * len(bad))
+    grad = pull.sum(axis=0) @ bad - pull.sum(axis=1) @ good + 1e-3 * model.weights
+    assert np.abs(grad).max() < 2e-3 < np.abs(bad.mean(axis=0) - good.mean(axis=0)).max() / 2
+    assert ((model.score(x) >= PASS).mean() - label.mean()) < 0.01
+    again = fit_all_pairs(rows.repartition(2), float(1 - label.mean()))
+    assert np.allclose(again.weights, model.weights, atol=1e-6) and abs(again.cut - model.cut) < 1e-6
+
+
+def test_quality_of_held_out_rows_fitted_where_they_lie(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    found = quality_scores(spark.read.parquet(f"{SF}/documents.parquet"), labels, small=0)
+    held = found.where("held_out").join(labels, "doc_id").collect()
+    assert sum(r.quality == r.predicted for r in held) / len(held) > 0.9
+
+
 def test_features_of_long_texts_do_not_depend_on_parts(monkeypatch):
     text = ("Some wörds, and lines.\n" * 300).encode()
     whole = features(text)

@@ -138,8 +138,8 @@ def test_date_parsers_see_only_texts_of_their_shape(frame):
     texts += [t for n in names for d in parts for y in parts for t in (f"{n} {d}, {y}", f" {d} {n} {y}", f"{d}-{n}-{y} ")]
     df = frame("t string", [(t,) for t in [*texts, "1/2/2020x", "x", "", None]])
     text = F.trim("t")
-    for fmt in profiling.DATE_FORMATS[1:]:
-        free = F.when(text.rlike(profiling.DATE_SHAPE), F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
-        fits, found = text.rlike(profiling.DATE_SHAPES[fmt]), profiling.parse_date("t", fmt)
+    for fmt in p.DATE_FORMATS[1:]:
+        free = F.when(text.rlike(p.DATE_SHAPE), F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
+        fits, found = text.rlike(p.DATE_SHAPES[fmt]), p.parse_date("t", fmt)
         r = df.agg(F.count_if(~free.eqNullSafe(found)), F.count(found), F.count_if(fits)).first()
         assert r[0] == 0 and 0 < r[1] <= r[2] < len(texts) / 5
