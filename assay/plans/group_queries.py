@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assay.operators import groups as g
 from assay.operators import predicates as p
 from assay.operators import ranking as r
-from assay.plans.helpers import rounded
+from assay.plans.helpers import rounded, rounded_as_held
 from assay.sources.tables import SALES_COLUMNS, sales
 
 SALES_SQL = (
@@ -76,7 +76,7 @@ QUERIES = {
         sales(s, d, "brand", "revenue"), "brand", "revenue", "count"),
     "top_groups_by_std": lambda s, d: rounded(
         r.top_groups(sales(s, d, "brand", "revenue"), "brand", "revenue", "std"), 3),
-    "group_summary_many": lambda s, d: rounded(g.group_summary(
+    "group_summary_many": lambda s, d: rounded_as_held(g.group_summary(
         sales(s, d, "nation", "brand", "revenue").withColumn("kind", F.concat_ws(" / ", "nation", "brand")),
         "kind", "revenue"), 4),
     "group_compare_many": lambda s, d: rounded(g.group_compare_two(
