@@ -81,6 +81,28 @@ def test_all_fits_together_equal_one_by_one(frame, parts):
     assert found.cost <= 1.02 * min(plain_kmeans(x, m.first_centres(x, found.k, s))[2] for s in range(10))
 
 
+def test_cells_add_up_to_the_sums_of_all_points(frame, monkeypatch):
+    """Few points are compared one by one, and ties still go to the first centre."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 1, (6000, 2)), [[0.0, 0.0]] * 700, [[2.0, 2.0]] * 5])
+    df = frame("features array<double>", [(r.tolist(),) for r in x]).coalesce(1)
+    monkeypatch.setattr(m, "CELL", 32)
+    cells = m._cells(df, 2)
+    assert cells.agg({"n": "sum"}).first()[0] == len(x) and cells.rdd.getNumPartitions() > 1
+    fits = {1: np.array([[-1.0, 0.0], [1.0, 0.0]]), 2: np.array([[2.0, 2.0], [2.0, 2.0], [50.0, 0.0]])}
+    sums = m._cluster_sums(cells, fits)
+    for f, centres in fits.items():
+        apart = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        at = apart.argmin(axis=1)
+        for c in range(len(centres)):
+            own = x[at == c]
+            expected = [len(own), apart[at == c, c].sum(), (own ** 2).sum(), *own.sum(axis=0)]
+            assert np.allclose(sums[f][c], expected, atol=1e-6)
+    facts = np.array([np.frombuffer(r["facts"]) for r in cells.collect()])
+    assert m.undivided(facts, fits[1])[1].mean() > 0.6
+    assert not m.undivided(facts, fits[2])[1].any()     # equal centres: points decide
+
+
 def test_segments_do_not_depend_on_the_partitioning(frame):
     rng = np.random.default_rng(9)
     df = frame("id int, a double, b double", [(i, *map(float, rng.normal(i % 3, 1, 2))) for i in range(200)])
