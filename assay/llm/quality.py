@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.orderstats import quantile_row
-from assay.llm.texts import fold_of, named, text_or_empty
+from assay.llm.texts import fold_of, key_bits, may_be_among, named, text_or_empty
 from assay.session import cut_lineage
 
 #: score from which a document passes
@@ -115,8 +115,13 @@ def _features_of(text: Column) -> Column:
     return run(text.cast("binary"))
 
 
-def _preferred(rows: DataFrame, votes: DataFrame) -> DataFrame:
-    """(id, label, x) of the training rows: one row of an id, of its texts the smallest."""
+def _preferred(rows: DataFrame, votes: DataFrame, n: int) -> DataFrame:
+    """(id, label, x) of the training rows: one row of an id, of its texts the smallest.
+
+    ``n`` is the number of votes. Only texts whose id can have one are moved to meet it.
+    """
+    if rows.schema["id"].dataType == votes.schema["id"].dataType:  # equal ids of other types hash apart
+        rows = rows.where(may_be_among(key_bits(votes, "id", n), "id"))
     firsts = rows.join(votes, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     return firsts.select("id", "label", _features_of(F.col("text")).alias("x"))
 
@@ -254,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     votes = cut_lineage(votes.where(fold_of("id", folds) != held_out).select("id", "label"))
     facts = votes.agg(F.avg(1 - F.col("label")), F.count("*")).first()
     share = float(facts[0] or 0.0)
-    rows = _preferred(docs.select(named(id_col).alias("id"), text_or_empty(text_col).alias("text")), votes)
+    rows = _preferred(docs.select(named(id_col).alias("id"), text_or_empty(text_col).alias("text")), votes, facts[1])
     if facts[1] > small:
         return fit_all_pairs(cut_lineage(rows.select("label", "x")), share)
     table = rows.toPandas().sort_values("id")  # one row of an id

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from assay.llm import lm
+from assay.llm import lm, quality, texts
 from assay.llm.quality import FEATURES, PASS, features, fit, fit_all_pairs, fit_pairs, quality_scores
 from assay.llm.queries import QUERIES
 
@@ -68,6 +68,18 @@ def test_repeated_ids_reach_the_driver_once_whatever_their_order(spark, monkeypa
     assert np.array_equal(fit(one, labels, held_out=-1).mean, models[0].mean)
 
 
+@pytest.mark.parametrize("most", [1 << 26, 1 << 15])
+def test_only_texts_that_can_have_a_label_are_moved(spark, monkeypatch, most):
+    monkeypatch.setattr(texts, "KEY_BITS", most)
+    votes = spark.range(0, 60000, 3).withColumnRenamed("id", "n").selectExpr("n AS id", "1 AS label")
+    rows = spark.range(60000).selectExpr("if(id % 1000 = 1, null, id) AS id", "'x' AS text")
+    moved = rows.where(texts.may_be_among(texts.key_bits(votes, "id", 20000), "id"))
+    assert moved.join(votes, "id").count() == rows.join(votes, "id").count() > 19000
+    assert moved.count() < (25000 if most > 1 << 15 else 45000)
+    found = quality._preferred(rows.limit(300).selectExpr("cast(id AS int) AS id", "text"), votes, 20000)
+    assert found.count() == rows.limit(300).join(votes, "id").count()  # ids of another type
+
+
 def test_pairs_learn_an_order():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 5)).astype(np.float32)
