@@ -102,6 +102,22 @@ def test_near_stage_on_documents(spark, sf_dir, documents):
     assert got == {d for i, (d, _) in enumerate(before) if reach[i] == i}
 
 
+def test_near_stage_moves_only_texts_that_are_compared(spark, monkeypatch):
+    from assay.llm import overlap
+
+    asked, plain = [], overlap.key_bits
+
+    def counted(keys, column, n):
+        asked.append(n)
+        return plain(keys, column, n)
+
+    monkeypatch.setattr(overlap, "key_bits", counted)
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, " ".join(f"x{i}y{j}" for j in range(20))) for i in range(50)] + [(100, words), (101, words + " end")]
+    found = {r.doc_id: r.component_id for r in overlap.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: min(i, 100) for i, _ in rows} and asked == [2]
+
+
 def test_decontamination_stage(spark, sf_dir, kept):
     found = {r.doc_id for r in leaks(kept[3], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     assert rows(kept[4]) == [r for r in rows(kept[3]) if r[0] not in found]
