@@ -2,7 +2,7 @@
 
 import pytest
 
-from assay.operators import groups, ranking
+from assay.operators import groups, profiling, ranking
 from assay.operators.profiling import sample_values
 from assay.plans.catalog import QUERIES
 from assay.sources.tables import sales, table
@@ -55,3 +55,10 @@ def test_samples_are_cut_before_the_shuffle(spark, sf_dir):
 def test_top_n_is_one_take_ordered_step(spark, sf_dir):
     df = ranking.top_groups(sales(spark, sf_dir, "returnflag", "revenue"), "returnflag", "revenue")
     assert "TakeOrderedAndProject" in plan(df)
+
+
+def test_typed_columns_joins_once(spark, sf_dir, monkeypatch):
+    seen, profile = [], profiling.profile
+    monkeypatch.setattr(profiling, "profile", lambda df: seen.append(plan(df)) or profile(df))
+    assert QUERIES["typed_columns"](spark, sf_dir).count() == 5
+    assert len(seen) == 1 and "Join" not in seen[0]
