@@ -141,3 +141,18 @@ def test_rank_correlation_with_ties_and_gaps(frame, parts):
         assert found[(a, b)]["rho"] == pytest.approx(np.corrcoef(ranks(whole[:, 0]), ranks(whole[:, 1]))[0, 1])
     assert found[("x", "k")]["rho"] is None and found[("x", "none")]["n"] == 0
     assert len(found) == 10 and st.spearman(df.where("x > 99"), ["x", "y"]).count() == 0
+
+
+def test_rank_correlation_writes_rows_not_pairs(frame, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [tuple(map(float, r)) for r in rng.normal(size=(300, 6))]
+    rows = [(None, *r[1:]) if i % 7 == 0 else r for i, r in enumerate(rows)]
+    names, written, cut = list("abcdef"), [], st.cut_lineage
+    monkeypatch.setattr(st, "HOT", 100)  # ranks come back by the join for many values
+    monkeypatch.setattr(st, "cut_lineage", lambda df: written.append(df.count()) or cut(df))
+    found = {(r["a"], r["b"]): r for r in st.spearman_matrix(frame(", ".join(f"{n} double" for n in names), rows), names).collect()}
+    for (a, b), r in found.items():
+        whole = np.array([(x[names.index(a)], x[names.index(b)]) for x in rows if a != "a" or x[0] is not None])
+        ranks = whole.argsort(axis=0).argsort(axis=0)
+        assert r["n"] == len(whole) and r["rho"] == pytest.approx(np.corrcoef(ranks.T)[0, 1])
+    assert len(found) == 15 and sum(written) <= 20 * len(rows)
