@@ -39,6 +39,17 @@ def test_importance_finds_the_driver(frame):
     assert m.feature_importance(df.limit(29), "y", ["x", "z"]).count() == 0
 
 
+def test_a_forest_reads_rows_in_tasks_of_bounded_size(frame, monkeypatch):
+    seen, spread = [], m._spread
+    monkeypatch.setattr(m, "_spread", lambda rows, most: seen.append((*spread(rows, most), most)) or seen[-1][:2])
+    df = frame("y double, x double, z double", [(float(i % 7), float(i % 7), float(i % 5)) for i in range(4000)]).coalesce(1)
+    rows = m.feature_importance(df, "y", ["x", "z"], trees=10, bag=152 * 500).collect()
+    assert rows[0]["feature"] == "x" and rows[0]["n_rows"] == 4000
+    (held, n, most), = seen
+    sizes = [len(p) for p in held.rdd.glom().collect()]
+    assert most == 500 and n == sum(sizes) == 4000 and max(sizes) <= 600
+
+
 def plain_kmeans(x, centres, rounds=300):
     """Lloyd's rounds over all points, one fit."""
     for _ in range(rounds):
