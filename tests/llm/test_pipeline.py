@@ -4,10 +4,12 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 import tiktoken
 
 import corpus_pipeline as pipeline
+from assay.llm import overlap
 from assay.llm.bpe import read_ranks
 from assay.llm.decontamination import leaks
 from assay.llm.quality import PASS, quality_scores
@@ -149,3 +151,31 @@ def test_nothing_else_imports_the_subpackage():
     for path in [*ROOT.glob("assay/**/*.py"), *ROOT.glob("tests/*.py"), ROOT / "bench.py"]:
         if "llm" not in path.parts:
             assert not re.search(r"assay\.llm|corpus_pipeline", path.read_text()), path
+
+
+def test_sketches_rule_out_only_sets_that_are_apart():
+    rng = np.random.default_rng(5)
+    for n, m, common in ((0, 0, 0), (1, 0, 0), (1, 1, 1), (40, 50, 40), (900, 1100, 880), (1000, 1000, 0), (130, 128, 100), (3, 700, 2)):
+        pool = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = pool[:n], pool[n - common:n - common + m]
+        apart, low = n + m - 2 * common, overlap.least_apart(overlap.sketch(a), overlap.sketch(b))
+        assert low <= apart and low == overlap.least_apart(overlap.sketch(b), overlap.sketch(a))
+        assert (apart - low) % 2 == 0
+        if n == m == 1000:
+            assert low > 2 * n / 9  # sets without a common hash are never compared
+
+
+def test_whole_sets_go_to_pairs_that_may_be_alike(spark, monkeypatch):
+    """Texts that share a few frequent shingles meet as candidates, but only their sketches move."""
+    rng = np.random.default_rng(6)
+    whole = [np.unique(rng.integers(0, 1 << 62, 300, dtype=np.int64)) for _ in range(20)]
+    whole.append(np.sort(np.r_[whole[0][:290], whole[1][:10]]))
+    sets = spark.createDataFrame(
+        [(i, len(h), h.tolist(), bytearray(overlap.sketch(h.view(np.uint64)))) for i, h in enumerate(whole)],
+        "node long, n long, hashes array<long>, sketch binary")
+    pairs = spark.createDataFrame([(i, j) for j in range(21) for i in range(j)], "a long, b long")
+    written, cut = [], overlap.cut_lineage
+    monkeypatch.setattr(overlap, "cut_lineage", lambda df: written.append(df.count()) or cut(df))
+    assert [tuple(r) for r in overlap._close(pairs, sets, overlap.LEAST).collect()] == [(0, 20)]
+    assert written == [1, 1]
