@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
-from assay.operators.matching import common_subsequences
+from assay.operators.matching import Laid, alike, common_subsequences
 from assay.functions.similarity import common_subsequence, token_set_ratio
 from assay.operators import text as x
 from assay.operators import usage as u
@@ -95,6 +96,31 @@ def test_common_subsequences_at_once():
         assert common_subsequences(a, others).tolist() == [common_subsequence(a, b) for b in others]
 
 
+def test_rest_of_sets_is_compared_with_all_at_once():
+    """One pass over all other sets, whichever words each shares, finds the pairs and scores of each alone."""
+    rng = random.Random(7)
+    def key():
+        return " ".join(sorted({"".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(rng.choice([1, 2, 8, 40]))}))
+    left, right = [key() for _ in range(25)], [key() for _ in range(25)] + ["a b\u2003c d", "z"]
+    right += left[:2]
+    letters = {c: i for i, c in enumerate(sorted(set("".join(left + right))))}
+    words = {w: i for i, w in enumerate(sorted({w for k in left + right for w in k.split(" ")}))}
+    ordered = sorted(right, key=len, reverse=True)
+    for a in left:
+        shared, held, long = Laid(ordered, letters, words).compare(a, letters, words, np.arange(len(ordered)))
+        for k, b in enumerate(ordered):
+            both = set(a.split(" ")) & set(b.split(" "))
+            rest = [" ".join(w for w in x.split(" ") if w not in both) for x in (a, b)]
+            assert (shared[k], held[k], long[k]) == (len(both), sum(map(len, both)), common_subsequence(*rest))
+    for threshold in (40, 65):
+        found = {(i, j): s for i, j, s in alike(left, right, threshold)}
+        assert all(s == token_set_ratio(left[i], right[j]) >= threshold for (i, j), s in found.items())
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                if not set(a.split()) & set(b.split()) and token_set_ratio(a, b) >= threshold:
+                    assert (i, j) in found
+
+
 def test_tags_take_the_most_confident_rule(frame):
     rules = [("ranking", [r"\btop\b", r"\bbest\b"], 0.86), ("trend", [r"\bover time\b"], 0.87),
              ("summary", [r"\bbest\b"], 0.86)]
