@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assay.llm import queries
 from assay.llm.codes import Grid, vector_codes
-from assay.llm.collocations import collocations, words_of
+from assay.llm.collocations import Block, build_filter, collocations, words_of
 from assay.llm.hosts import domain_columns, judge_urls
 from assay.functions.hot import join_counted
 from tests.oracle import compare, connect
@@ -74,6 +74,15 @@ def test_phrases_brute_force(spark):
         assert got == brute_phrases(rows, 5, 40)
 
 
+def test_only_what_may_be_frequent_leaves_a_task(spark):
+    """A pair needs both words to be frequent; a prefix that nothing frequent follows makes no row."""
+    known = build_filter(spark.createDataFrame([("en", "a"), ("en", "b"), ("en", "c")], "lang string, phrase string"))
+    block = Block("en", [2], known, {})
+    block.add(b"a b x1 a x2 c \xff b x3 c a b".split() + [b"\xff"])
+    rows = [r for batch in block.rows(0) for r in batch.to_pylist()]
+    assert sorted((r["prefix"], r["word"], r["n"]) for r in rows) == [(b"a", [b"b"], [2]), (b"c", [b"a"], [1])]
+
+
 def test_phrases_of_nothing(spark, empty):
     assert collocations(empty).collect() == []
     one = spark.createDataFrame([(None, None)], "text string, lang string")
