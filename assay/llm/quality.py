@@ -27,8 +27,8 @@ PASS = 0.7
 BINS, SMALL, PARTNERS = 512, 1000, 20
 #: bins that scores are compared by, and scans at most, where rows are fitted where they lie
 STEPS, ROUNDS = 256, 12
-#: bytes whose pairs are counted at once
-CHUNK = 1 << 20
+#: bytes whose pairs are counted at once; rows whose features a task holds in double precision at once
+CHUNK, HELD = 1 << 20, 512
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ",
             b"\t\n\x0b\x0c\r", b".,;:?'\"()-", bytes(range(128, 256))]
 FEATURES = BINS + len(_CLASSES) + 8
@@ -105,12 +105,19 @@ def fit_pairs(x: np.ndarray, label: np.ndarray, share_bad: float, partners: int
     return QualityModel(mean, std, w, float(cut), float(s.std() / 4 + 1e-9))
 
 
+def _slices(rows):
+    """Runs of at most ``HELD`` rows of an array; one empty run of an empty one."""
+    return [rows[at:at + HELD] for at in range(0, max(1, len(rows)), HELD)]
+
+
 def _features_of(text: Column) -> Column:
     @F.arrow_udf("array<float>")
     def run(texts: pa.Array) -> pa.Array:
-        rows = np.array([features(t.as_py()) for t in texts], np.float32).reshape(-1, FEATURES)
-        return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), FEATURES).cast(
-            pa.list_(pa.float32()))
+        rows = np.empty((len(texts), FEATURES), np.float32)
+        for i, text in enumerate(texts):
+            rows[i] = features(text.as_py())
+        offsets = pa.array(np.arange(0, rows.size + 1, FEATURES, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
 
     return run(text.cast("binary"))
 
@@ -128,8 +135,10 @@ def _preferred(rows: DataFrame, votes: DataFrame, n: int) -> DataFrame:
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
-        x = pc.list_flatten(batch.column("x")).to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-        yield batch.column("label").to_numpy(), x.astype(np.float64)
+        for at in range(0, len(batch), HELD):
+            part = batch.slice(at, HELD)
+            x = pc.list_flatten(part.column("x")).to_numpy(zero_copy_only=False).reshape(len(part), -1)
+            yield part.column("label").to_numpy(), x.astype(np.float64)
 
 
 def _sum_by_key(parts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
@@ -238,8 +247,8 @@ def fit_all_pairs(rows: DataFrame, share_bad: float, rounds: int = ROUNDS, decay
 def _raw_score(mean: np.ndarray, std: np.ndarray, w: np.ndarray):
     @F.arrow_udf("double")
     def run(x: pa.Array) -> pa.Array:
-        z = (pc.list_flatten(x).to_numpy(zero_copy_only=False).reshape(len(x), -1) - mean) / std
-        return pa.array(z @ w)
+        rows = pc.list_flatten(x).to_numpy(zero_copy_only=False).reshape(len(x), -1)
+        return pa.array(np.concatenate([((part - mean) / std) @ w for part in _slices(rows)]))
 
     return run
 
@@ -271,8 +280,9 @@ def score_column(model: QualityModel, text_col: str = "text") -> Column:
     """The score of a text, 0 to 1; null counts as empty, and an empty text has a score as well."""
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        rows = np.array([features(t.as_py()) for t in texts], np.float32).reshape(-1, FEATURES)
-        return pa.array(model.score(rows).astype(np.float64))
+        scores = [model.score(np.array([features(t.as_py()) for t in part], np.float32).reshape(-1, FEATURES))
+                  for part in _slices(texts)]
+        return pa.array(np.concatenate(scores).astype(np.float64))
 
     return run(text_or_empty(text_col).cast("binary"))
 

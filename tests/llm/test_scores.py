@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from assay.llm import lm, quality, texts
@@ -109,6 +110,18 @@ def test_all_training_rows_are_fitted_where_they_lie(spark, monkeypatch):
     assert np.allclose(again.weights, model.weights, atol=1e-6) and abs(again.cut - model.cut) < 1e-6
 
 
+def test_quality_holds_few_rows_at_once(monkeypatch):
+    """Tasks take batches of any size in runs of HELD rows; the rows and their scores are the same."""
+    rng, n = np.random.default_rng(3), 40
+    x, label = rng.normal(size=(n, FEATURES)).astype(np.float32), rng.integers(0, 2, n).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(label), pa.array(x.tolist(), pa.list_(pa.float32()))], ["label", "x"])
+    monkeypatch.setattr(quality, "HELD", 16)
+    parts = list(quality._arrays([batch, batch.slice(0, 0)]))
+    assert [len(a) for a, _ in parts] == [16, 16, 8]
+    assert (np.concatenate([a for a, _ in parts]) == label).all() and (np.concatenate([b for _, b in parts]) == x).all()
+    assert [len(p) for p in quality._slices(x)] == [16, 16, 8] and [len(p) for p in quality._slices(x[:0])] == [0]
+
+
 def test_quality_of_held_out_rows_fitted_where_they_lie(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     found = quality_scores(spark.read.parquet(f"{SF}/documents.parquet"), labels, small=0)
