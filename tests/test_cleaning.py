@@ -160,3 +160,13 @@ def test_duplicates_shuffle_no_text(spark):
         text = found._jdf.queryExecution().executedPlan().toString()
         assert not [line for line in text.split("\n") if "Exchange hash" in line and "words" in line]
     assert "SortMergeJoin" not in text
+
+
+def test_duplicates_are_grouped_once(spark, monkeypatch):
+    """What is joined with the rows is a written table: the digests are not grouped again for each use of it."""
+    seen, join = [], c.join_counted
+    monkeypatch.setattr(c, "join_counted", lambda rows, keys, *more: seen.append(keys) or join(rows, keys, *more))
+    df = spark.range(1000).selectExpr("id % 990 AS k", "'x' AS words")
+    assert c.drop_duplicates(df).count() == 990
+    (keys,) = seen
+    assert "Aggregate" not in keys._jdf.queryExecution().optimizedPlan().toString() and keys.count() == 10
