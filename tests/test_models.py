@@ -50,6 +50,14 @@ def test_a_forest_reads_rows_in_tasks_of_bounded_size(frame, monkeypatch):
     assert most == 500 and n == sum(sizes) == 4000 and max(sizes) <= 600
 
 
+def test_rows_of_a_forest_lie_on_all_cores(spark):
+    held, n = m._spread(spark.range(3000).coalesce(1), 10_000, 1000)
+    sizes = [len(p) for p in held.rdd.glom().collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert n == sum(sizes) == 3000 and len(sizes) == min(3, cores) and max(sizes) <= 2 * n / len(sizes)
+    assert m._spread(spark.range(3000).coalesce(1), 10_000)[0].rdd.getNumPartitions() == 1
+
+
 def plain_kmeans(x, centres, rounds=300):
     """Lloyd's rounds over all points, one fit."""
     for _ in range(rounds):

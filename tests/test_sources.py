@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from assay import session
 from assay.sources import sinks
 from assay.sources.pages import page_index
 from assay.sources.readers import check_shape, clean_header, read_table
@@ -72,3 +73,17 @@ def test_a_deep_page_sorts_one_range(spark):
     assert [r["k"] for r in page.collect()] == list(range(9_300, 9_310)) and "Filter" in touched
     low, high, n = next(r for r in index.ranges if r[0]["k0"] <= 9_300 <= r[1]["k0"])
     assert n < 2_000 and high["k0"] - low["k0"] + 1 == n
+
+
+def test_a_table_in_one_part_is_written_for_all_cores(spark):
+    def sizes(df):
+        return sorted(n for n in map(len, df.rdd.glom().collect()) if n)
+
+    df = spark.range(4000).coalesce(1)
+    with session.written_tables() as made:
+        even, small = session.cut_evenly(df, 500), session.cut_evenly(df)
+    parts = min(8, spark.sparkContext.defaultParallelism)
+    assert len(sizes(even)) == parts and max(sizes(even)) <= 2 * 4000 / parts and sizes(small) == [4000]
+    assert sorted(r[0] for r in even.collect()) == list(range(4000))
+    assert len(made) == 2 and all(any(path in f for f in even.inputFiles() + small.inputFiles()) for path in made)
+    assert session.cut_evenly(spark.range(0)).count() == 0
